@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat_formatting
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .token_files import op10_token_files
+from .warc import OP1_SQL, op1_warc_archive
 
 QUERIES = {
+    "op1_warc_archive": op1_warc_archive,
+    "op2_chat_formatting": op2_chat_formatting,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_token_files": op10_token_files,
 }
 
 SQL = {
+    "op1_warc_archive": OP1_SQL,
+    "op2_chat_formatting": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
