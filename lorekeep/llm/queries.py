@@ -6,12 +6,14 @@ from .chat import OP2_SQL, op2_chat_formatting
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op6_language_id
 from .mixing import op4_mixing
+from .packing import op3_packing
 from .token_files import op10_token_files
 from .warc import OP1_SQL, op1_warc_archive
 
 QUERIES = {
     "op1_warc_archive": op1_warc_archive,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
