@@ -6,6 +6,7 @@ from .chat import OP2_SQL, op2_chat_formatting
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op6_language_id
 from .mixing import op4_mixing
+from .near_dedup import op8_minhash
 from .packing import op3_packing
 from .token_files import op10_token_files
 from .warc import OP1_SQL, op1_warc_archive
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op8_minhash": op8_minhash,
     "op10_token_files": op10_token_files,
 }
 
