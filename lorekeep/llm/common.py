@@ -56,6 +56,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Adds row, a number of its own for each row: the identifier where all are there and differ, else one that is written."""
+    if rows.groupBy(id_col).count().where(f"count > 1 OR `{id_col}` IS NULL").limit(1).count():
+        return kept(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn("row", F.col(id_col).cast("long"))
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Node -> smallest node reachable, for undirected links (a long, b long); nodes without links are not returned.
 

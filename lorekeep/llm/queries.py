@@ -8,6 +8,7 @@ from .language_id import op6_language_id
 from .mixing import op4_mixing
 from .near_dedup import op8_minhash
 from .packing import op3_packing
+from .substring_dedup import op7_substring_dedup
 from .token_files import op10_token_files
 from .vector_dedup import op9_vector_dedup
 from .warc import OP1_SQL, op1_warc_archive
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_token_files": op10_token_files,

@@ -30,12 +30,12 @@ SHARD = 1_000
 MOST_IN_SHARD = 3_000
 SAMPLE = 16_384
 MOST_CENTROIDS = 2_048
-OVERLAP, MORE_OVERLAP, ATTEMPTS = 2, 2, 3
+OVERLAP, MORE_OVERLAP, ATTEMPTS = 4, 4, 3
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 BEAM, STEPS = 8, 24
 #: Found vectors this much below the range still lead on.
 SLACK = 0.03
-AUDITED, AUDIT_FLOOR = 200, 0.99
+AUDITED, AUDIT_FLOOR = 400, 0.99
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
