@@ -91,14 +91,14 @@ def fenced(text: Column, most: int, language: str = "") -> Column:
 def compact(value: Column) -> Column:
     """41200 -> 41.2k; null and what isn't finite -> a dash."""
     v = value.cast("double")
-    short = lambda by, unit: F.concat(F.format_string("%.1f", v / by), F.lit(unit))
+    short = lambda by, unit: F.concat(F.replace(F.format_number(v / by, 1), F.lit(","), F.lit("")), F.lit(unit))
     whole = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "—").when(v >= 1e9, short(1e9, "B")).when(v >= 1e6, short(1e6, "M")).when(v >= 1e3, short(1e3, "k")).otherwise(whole)
 
 
 def ago(then: Column, now: Column) -> Column:
     """How long before now, in seconds, minutes, hours or days; at least a second."""
-    s = F.greatest(F.lit(1), F.round((F.unix_micros(now) - F.unix_micros(then)) / 1e6).cast("long"))
+    s = F.greatest(F.lit(1), F.round((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6).cast("long"))
     n = lambda by, unit: F.concat(F.round(s / by).cast("long").cast("string"), F.lit(f" {unit} ago"))
     return F.when(s < 60, n(1, "s")).when(s < 3600, n(60, "min")).when(s < 86400, n(3600, "h")).when(s.isNotNull(), n(86400, "d"))
 

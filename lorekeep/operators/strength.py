@@ -20,7 +20,7 @@ OUTCOMES = ("worked", "partially_worked", "failed", "not_applicable")
 
 def days_between(now: Column, then: Column) -> Column:
     """Days, not below 0."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / 8.64e10)
+    return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 8.64e10)
 
 
 def wilson_lower(successes: Column, n: Column, z: float = Z) -> Column:
@@ -79,7 +79,7 @@ def tokens_saved(reports: DataFrame, spent: str = "tokens_spent") -> DataFrame:
 
 def ratio(part: Column, base: Column, least: int) -> Column:
     """Percent, rounded half up, only where the base is large enough to say something."""
-    return F.when(base >= least, F.floor(100 * part / base + 0.5).cast("long"))
+    return F.when(base >= least, F.floor(100 * part / base + 0.5).cast("double"))
 
 
 def votes_counted(reports: DataFrame, per_address: int = 3, per_hour: int = 20) -> DataFrame:
