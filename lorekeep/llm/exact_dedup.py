@@ -1,6 +1,6 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the normalised bytes, Spark's external sort puts equal texts next to each other, and
+Sampled splitters range-partition the normalised bytes (by their head, then by a digest), Spark's external sort puts equal texts next to each other, and
 each row is compared in full with its neighbour. The splitters are of (text, id), so a group of copies of any size is
 spread over as many partitions as its bytes need. Runs that touch a partition's edge are joined with those beyond it by
 digest and length: two runs a partition at most, a table whose size is bounded by the number of partitions.
@@ -24,6 +24,8 @@ from .common import kept, read_table, shuffle_partitions
 
 _RUNS = "doc_id long, run_keep long, run_size long, run_first boolean, edge boolean, n_bytes long, text_sha256 string"
 ROWS_AT_ONCE = 50_000
+#: Characters of a text that go into the sample for the splitters.
+SPLITTER_CHARS = 64
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +63,9 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", text_col: str = "text",
     spark = docs.sparkSession
     order = {"largest": F.col("doc_id").desc_nulls_last(), "smallest": F.col("doc_id").asc_nulls_last()}[keep]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(shuffle_partitions(spark), F.col("text"), order).sortWithinPartitions(F.col("text"), order)
+    # What is sampled for the splitters is bounded: the text's head, then a digest, so equal texts stay neighbours.
+    place = [F.substring("text", 1, SPLITTER_CHARS), F.xxhash64("text")]
+    placed = rows.repartitionByRange(shuffle_partitions(spark), *place, order).sortWithinPartitions(*place, F.col("text"), order)
     runs = kept(placed.mapInPandas(_runs, _RUNS), "runs")
     best = (F.max if keep == "largest" else F.min)("run_keep")
     # At most two runs a partition have run_first and edge set.

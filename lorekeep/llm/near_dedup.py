@@ -6,11 +6,12 @@ classes come from buckets; their similarity is first estimated from their signat
 corrected for chance, and those that pass (with a margin of six standard deviations) are confirmed on their full sets.
 Confirmed links make components; one document of each, that with the smallest identifier, is kept.
 
-No bucket is expanded into all its pairs. First every member is compared with its bucket's smallest member. A bucket
-whose members are then all in one component has nothing left to find. In the others, members of different components are
-compared: in small buckets as pairs, in large ones in blocks of BLOCK members a side, with signatures only, so a task's
-memory is bounded and every such pair is looked at. So a link can be missed only if its documents share no bucket: at a
-similarity of 0.8 with a chance of (1 - 0.8^ROWS)^BANDS = 5e-7.
+No bucket is expanded into all its pairs. First every member is compared with its bucket's smallest member, and what passes the
+estimate makes families, what is confirmed makes components. A family that is one component has nothing left to find. In
+the others, all members outside the largest component are compared with the rest of the family, in blocks of BLOCK members
+a side that are tasks of their own: there too the estimate comes first, then the full sets, and pairs that are linked
+already are passed over. So a link can be missed only if its documents share no bucket: at a similarity of 0.8 with a
+chance of (1 - 0.8^ROWS)^BANDS = 5e-7.
 
 Null and empty texts have empty sets and link with nothing. Rows that repeat a doc_id are one document, for which the
 greatest of their texts stands; each gets its answer. Rows with a null doc_id link with nothing, have a null component_id
@@ -34,9 +35,8 @@ BANDS, ROWS = 48, 6
 PERMUTATIONS = BANDS * ROWS
 #: Low bits of each minimum in a signature.
 BITS = 4
-#: Buckets up to this size are expanded into pairs where their members are in different components.
-SMALL = 12
-BLOCK = 1_000
+#: Members of a side of a block.
+BLOCK = 500
 _rng = np.random.default_rng(88)
 _XOR = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -116,24 +116,39 @@ def _passing(floor: float) -> Callable:
     return run
 
 
-def _blocks(floor: float) -> Callable:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        sides = [rows[rows["chunk"] == c] for c in (i, j)]
+def _blocks(k: int, percent: int, floor: float) -> Callable:
+    """Links between different components among the pairs of a block: of its side 0 with its side 1, or within side 2."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        within = bool((rows["side"] == 2).any())
+        sides = [rows, rows] if within else [rows[rows["side"] == s] for s in (0, 1)]
         signs = [np.frombuffer(b"".join(s["sign"]), dtype=np.uint8).reshape(len(s), -1) if len(s) else np.zeros((0, 1), np.uint8) for s in sides]
-        nodes, labels = [s["node"].to_numpy() for s in sides], [s["label"].to_numpy() for s in sides]
-        a, b = [], []
+        nodes, labels = [s["node"].to_numpy() for s in sides], [s["label"].to_numpy().copy() for s in sides]
+        labels[1] = labels[0] if within else labels[1]
+        sets = [shingle_sets(s["text"].tolist(), k) for s in sides[: 1 if within else 2]]
+        sets = [sets[0], sets[-1]]
+        out = []
         for x in range(len(nodes[0])):
             other = labels[1] != labels[0][x]
-            if i == j:
+            if within:
                 other[: x + 1] = False
             other = np.flatnonzero(other)
-            if len(other):
-                other = other[estimate(signs[0][x], signs[1][other]) >= floor]
-                a.append(np.full(len(other), nodes[0][x]))
-                b.append(nodes[1][other])
-        one, two = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+            if not len(other):
+                continue
+            near = estimate(signs[0][x], signs[1][other])
+            for y in other[near >= floor][np.argsort(-near[near >= floor], kind="stable")]:
+                if labels[0][x] == labels[1][y]:
+                    continue  # joined meanwhile
+                n, m = len(sets[0][x]), len(sets[1][y])
+                if 100 * min(n, m) < percent * max(n, m):
+                    continue
+                both = common(sets[0][x], sets[1][y])
+                if 100 * both >= percent * (n + m - both):
+                    out.append(sorted((int(nodes[0][x]), int(nodes[1][y]))))
+                    old, new = labels[1][y], labels[0][x]
+                    for side in labels[: 1 if within else 2]:
+                        side[side == old] = new
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -167,6 +182,26 @@ def _estimated(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInPandas(_passing(floor), "a long, b long")
 
 
+def _between(families: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of the blocks that compare different components of a family: block, side, node, label, sign, text."""
+    own = families.select("node", F.col("label").alias("family")).join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
+    parts = own.groupBy("family", "label").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("family").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("major"), F.max("n").alias("majors"), F.sum("n").alias("n"))
+    chunks = lambda n: F.ceil(n / BLOCK).cast("int")
+    whole = whole.where("parts > 1").select("family", "major", chunks(F.col("majors")).alias("ca"), chunks(F.col("n") - F.col("majors")).alias("co"))
+    rows = own.join(whole, "family").withColumn("in_major", F.col("label") == F.col("major"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("in_major"), F.col("ca")).otherwise(F.col("co"))).cast("int"))
+    name = lambda kind, i, j: F.concat_ws("-", "family", F.lit(kind), i, j)
+    block = lambda key, side: F.struct(key.alias("block"), side.alias("side"))
+    outside = F.sequence(F.lit(0), F.col("co") - 1)
+    of_major = F.transform(outside, lambda j: block(name("a", F.col("chunk"), j), F.lit(0)))
+    with_major = F.transform(F.sequence(F.lit(0), F.col("ca") - 1), lambda i: block(name("a", i, F.col("chunk")), F.lit(1)))
+    with_others = F.transform(outside, lambda j: block(name("o", F.least("chunk", j), F.greatest("chunk", j)), F.when(F.col("chunk") == j, 2).otherwise((F.col("chunk") > j).cast("int"))))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("in_major"), of_major).otherwise(F.concat(with_major, with_others))))
+    rows = rows.select("at.block", "at.side", "node", "label")
+    return rows.join(classes.select("node", "sign"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node").select("block", "side", "node", "label", "sign", "text")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links hold at 100 * intersection >= percent * union.
 
@@ -190,24 +225,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Only texts that share a bucket are shuffled on.
     texts = kept(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = kept(_confirmed(_estimated(pairs, classes, floor), texts, words, percent), "links")
-    labels = connected_components(links)
-    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high AND key IS NOT NULL").select("key")
-    open_members = kept(labelled.where("n > 2").join(mixed_keys, "key", "left_semi"), "open")
-    small = open_members.where(F.col("n") <= SMALL)
-    left, right = (small.select("key", F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
-    small_pairs = left.join(right, "key").where("a < b AND label_a <> label_b").select("a", "b").distinct()
-    large = open_members.where(F.col("n") > SMALL).join(classes.select("node", "sign"), "node").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    large = large.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    large = large.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "label", "sign")
-    large_pairs = large.groupBy("key", "i", "j").applyInPandas(_blocks(floor), "a long, b long").distinct()
-    rest = kept(_estimated(small_pairs, classes, floor).unionByName(large_pairs).distinct(), "rest-pairs")
-    more = kept(_confirmed(rest, texts, words, percent), "more-links")
+    near = kept(_estimated(pairs, classes, floor), "near")
+    links = kept(_confirmed(near, texts, words, percent), "links")
+    labels, families = connected_components(links), connected_components(near)
+    more = kept(_between(families, labels, classes, texts).groupBy("block").applyInPandas(_blocks(words, percent, floor), "a long, b long"), "more-links")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
-    for x in (members, open_members, rest, texts):
+    for x in (members, near, texts):
         dropped(x)
     ids = of_set.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component"))
     found = signed.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")

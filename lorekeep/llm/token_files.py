@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, length: int
     """Writes the files; their folder, and the index: doc_id, part, file, place, n_tokens."""
     spark = docs.sparkSession
     folder = new_path(spark, "token-files")
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     return folder, kept(placed.mapInPandas(_writer(folder, tokenizer, end_id, length, rows), _INDEX), "token-index")
 
 
