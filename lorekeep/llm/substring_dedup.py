@@ -11,8 +11,9 @@ only, and a position is dropped as soon as its rank is unique:
 2. An anchor's strings are parted by distance into two blocks. A block is ranked by its core, the bytes that all its
    strings share (about half of LENGTH and more), and by its hull, the bytes of them all. Blocks whose core is unique are
    dropped; blocks whose hull is not unique are settled, all their strings are repeated.
-3. What remains, the borders of repeats, is ranked string by string at full LENGTH. One block of each settled hull takes
-   part, as evidence for the others.
+3. What remains, the borders of repeats, is parted into PARTS smaller blocks, ranked by longer cores and shorter hulls, and
+   dropped or settled in the same way. One block of each settled hull takes part, as evidence for the others.
+4. What remains of these is ranked string by string at full LENGTH.
 
 A rank is a 64-bit hash of the bytes at that length; strings are told apart by core and hull, or core and string, together.
 Counting pre-aggregates before it shuffles, so a passage that a third of all documents share makes no large group, and
@@ -32,11 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, numbered, read_table
+from .common import dropped, kept, numbered, read_table
 from .shingles import mixed
 
 LENGTH = 200
 SEED = 32
+#: Blocks that a block is parted into, by round.
+PARTS = (2, 8)
 BYTES_AT_ONCE = 1 << 20
 _POSITION_BITS = 24
 _VALUE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
@@ -51,6 +54,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base]
 
 
+_DISTANCE_BITS = 8
+_DISTANCE = (1 << _DISTANCE_BITS) - 1
+
+
+def packed(place: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """A place with the least and largest distance of its strings, as one number."""
+    return (place << 2 * _DISTANCE_BITS) | (near << _DISTANCE_BITS) | far
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 2 * _DISTANCE_BITS, at >> _DISTANCE_BITS & _DISTANCE, at & _DISTANCE
+
+
 class Hashes:
     """Hashes of any stretches of a byte array."""
 
@@ -102,7 +118,7 @@ def _find_anchors(length: int, seed: int) -> Callable:
         far = np.minimum(far, place - begins[of])
         near = np.maximum(near, place + length - begins[of + 1])
         good = near <= far
-        return pd.DataFrame({"row": np.array(rows, dtype=np.int64)[of[good]], "place": (place - begins[of])[good], "near": near[good].astype(np.int16), "far": far[good].astype(np.int16), "rank": rank[good].view(np.int64)})
+        return pd.DataFrame({"row": np.array(rows, dtype=np.int64)[of[good]], "at": packed((place - begins[of])[good], near[good], far[good]), "rank": rank[good].view(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,7 +127,7 @@ def _find_anchors(length: int, seed: int) -> Callable:
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) > BYTES_AT_ONCE:
                     for offset, part in _stretches(raw, length):
-                        yield flush([row], [part.tobytes()]).assign(place=lambda x, o=offset: x["place"] + o)
+                        yield flush([row], [part.tobytes()]).assign(at=lambda x, o=offset: x["at"] + (o << 2 * _DISTANCE_BITS))
                     continue
                 if size + len(raw) > BYTES_AT_ONCE:
                     yield flush(rows, texts)
@@ -125,60 +141,54 @@ def _find_anchors(length: int, seed: int) -> Callable:
     return run
 
 
-_BLOCKS = "row long, place int, block int, near smallint, far smallint, core long, hull long"
-
-
-def _ranks(length: int, seed: int) -> Callable:
-    """Blocks of a document's anchors, with the ranks of core and hull (null where the hull leaves the text)."""
-    span = length - seed + 1
-    edges = [0, (span + 1) // 2, span]
+_BLOCK = "row long, at long, low smallint, high smallint, core long, n int"
+
+
+def _ranks(length: int, parts: int, strings: bool) -> Callable:
+    """The smaller blocks of a document's blocks, with the ranks of core and hull (null where the hull leaves the text) and,
+    if asked, of each of its strings."""
+
+    def of_text(raw: np.ndarray, at, low, high, core, n) -> tuple[np.ndarray, ...]:
+        h = Hashes(raw)
+        place, near, far = unpacked(at)
+        order = np.lexsort((low, place))
+        place, near, far, low, high, core, n = (x[order] for x in (place, near, far, low, high, core, n))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(place) > 0) | (np.diff(low) > 0)]))
+        near, far = np.minimum.reduceat(near, new), np.maximum.reduceat(far, new)  # an anchor that two stretches share
+        place, low, high, core, n = (x[new] for x in (place, low, high, core, n))
+        step = -(-(high - low + 1) // parts)
+        part = np.tile(np.arange(parts), len(place))
+        place, near, far, low, high, core, n, step = (np.repeat(x, parts) for x in (place, near, far, low, high, core, n, step))
+        low, high = low + part * step, np.minimum(high, low + (part + 1) * step - 1)
+        good = (low <= high) & (near <= high) & (far >= low)
+        place, near, far, low, high, core, n, part = (x[good] for x in (place, near, far, low, high, core, n, part))
+        near, far = np.maximum(near, low), np.minimum(far, high)
+        own = mixed(core.view(np.uint64) + h.of(place - low, place - high + length) + part.astype(np.uint64)).view(np.int64)
+        inside = (place - high >= 0) & (place - low + length <= len(raw))
+        hull = h.of(np.where(inside, place - high, 0), np.where(inside, place - low + length, 0)).view(np.int64)
+        many = far - near + 1
+        start = np.repeat(place - far - np.cumsum(many) + many, many) + np.arange(many.sum())
+        each = np.split(h.of(start, start + length).view(np.int64), np.cumsum(many)[:-1]) if strings and len(many) else []
+        return packed(place, near, far), low, high, own, n, hull, inside, each
+
+    def frame(rows: list[int], found: list[tuple]) -> pd.DataFrame:
+        at, low, high, core, n, hull, inside = (np.concatenate([f[k] for f in found]) for k in range(7))
+        out = pd.DataFrame({"row": np.repeat(rows, [len(f[0]) for f in found]), "at": at, "low": low.astype(np.int16), "high": high.astype(np.int16), "core": core, "n": n.astype(np.int32)})
+        out["hull"] = pd.arrays.IntegerArray(hull, ~inside)
+        return out.assign(ranks=[x for f in found for x in f[7]]) if strings else out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, size = [], 0
-            for row, text, places, nears, fars in batch[["row", "text", "places", "nears", "fars"]].itertuples(index=False, name=None):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                h = Hashes(raw)
-                places, nears, fars = (np.asarray(x, dtype=np.int64) for x in (places, nears, fars))
-                for block in (0, 1):
-                    lo, hi = edges[block], edges[block + 1] - 1
-                    good = (nears <= hi) & (fars >= lo)
-                    p = places[good]
-                    core = h.of(p - lo, p - hi + length) ^ np.uint64(block)
-                    inside = (p - hi >= 0) & (p - lo + length <= len(raw))
-                    hull = h.of(np.where(inside, p - hi, 0), np.where(inside, p - lo + length, 0)).view(np.int64)
-                    own = pd.DataFrame({"row": row, "place": p, "block": block, "near": np.maximum(nears[good], lo), "far": np.minimum(fars[good], hi), "core": core.view(np.int64)})
-                    own["hull"] = pd.array(hull, dtype="Int64")
-                    own.loc[~inside, "hull"] = pd.NA
-                    out.append(own)
-                    size += len(own)
+            rows, found, size = [], [], 0
+            for row, text, *own in batch[["row", "text", "at", "low", "high", "core", "n"]].itertuples(index=False, name=None):
+                rows.append(row)
+                found.append(of_text(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), *(np.asarray(x, dtype=np.int64) for x in own)))
+                size += len(found[-1][0])
                 if size > 50_000:
-                    yield pd.concat(out)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out)
-
-    return run
-
-
-def _strings(length: int) -> Callable:
-    """Each string of the blocks of a document, ranked at full length."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, size = [], 0
-            for row, text, blocks in batch[["row", "text", "blocks"]].itertuples(index=False, name=None):
-                h = Hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8))
-                place, near, far, core, n = (np.array([b[k] for b in blocks], dtype=np.int64) for k in ("place", "near", "far", "core", "n"))
-                many = far - near + 1
-                start = np.repeat(place - far, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                out.append(pd.DataFrame({"row": row, "start": start, "core": np.repeat(core, many), "rank": h.of(start, start + length).view(np.int64), "n": np.repeat(n, many)}))
-                size += len(start)
-                if size > 100_000:
-                    yield pd.concat(out)
-                    out, size = [], 0
-            if out:
-                yield pd.concat(out)
+                    yield frame(rows, found)
+                    rows, found, size = [], [], 0
+            if found:
+                yield frame(rows, found)
 
     return run
 
@@ -202,31 +212,53 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "kept_sha256"])
 
 
+_NAMES = ["at", "low", "high", "core", "n"]
+
+
+def _by_row(blocks: DataFrame) -> DataFrame:
+    """A row for each document, with its blocks as arrays."""
+    own = blocks.groupBy("row").agg(F.collect_list(F.struct(*_NAMES)).alias("own"))  # of one document
+    return own.select("row", *(F.col(f"own.{c}").alias(c) for c in _NAMES))
+
+
+def _round(joined: DataFrame, length: int, parts: int, strings: bool) -> tuple[DataFrame, DataFrame]:
+    """(spans of settled blocks, what remains of the others) after the blocks of texts have been parted and ranked."""
+    more = ["ranks"] * strings
+    parted = joined.mapInPandas(_ranks(length, parts, strings), f"{_BLOCK}, hull long" + ", ranks array<long>" * strings)
+    # A hull that leaves its text stands for itself.
+    parted = kept(parted.withColumn("hull", F.coalesce("hull", F.xxhash64("row", "at", "low"))), "blocks")
+    hulls = kept(parted.groupBy("core", "hull").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "low", "high", *more)).alias("one")), "hulls")
+    settled = parted.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
+    place = F.shiftright("at", 2 * _DISTANCE_BITS)
+    spans = kept(settled.select("row", (place - F.col("high")).alias("start"), (place - F.col("low") + length).alias("stop")), "spans")
+    dropped(parted)
+    # Cores with one hull are unique, or settled wholly.
+    open_cores = hulls.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core")
+    rest = hulls.join(open_cores, "core", "left_semi").select("one.*", "core", F.least("n", F.lit(2)).cast("int").alias("n"))
+    return spans, rest
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(spans: row, start, stop of repeated stretches, which may overlap; texts: row, text of the documents that may have some)."""
+    if length - seed >= 1 << _DISTANCE_BITS:
+        raise ValueError(f"length may exceed seed by less than {1 << _DISTANCE_BITS}")
     texts = docs.where(F.octet_length("text") >= length).select("row", "text")
-    found = kept(texts.mapInPandas(_find_anchors(length, seed), "row long, place int, near smallint, far smallint, rank long"), "anchors")
+    found = kept(texts.mapInPandas(_find_anchors(length, seed), "row long, at long, rank long"), "anchors")
     again = found.groupBy("rank").count().where("count > 1").select("rank")
-    alive = found.join(again, "rank", "left_semi").groupBy("row").agg(F.collect_list(F.struct("place", "near", "far")).alias("own"))
-    affected = kept(texts.join(alive, "row").select("row", "text", F.col("own.place").alias("places"), F.col("own.near").alias("nears"), F.col("own.far").alias("fars")), "affected")
-    blocks = kept(affected.mapInPandas(_ranks(length, seed), _BLOCKS), "blocks")
-    span = length - seed + 1
-    low = F.when(F.col("block") == 0, 0).otherwise((span + 1) // 2)
-    high = F.when(F.col("block") == 0, (span + 1) // 2 - 1).otherwise(span - 1)
-    # A hull that leaves its text stands for itself.
-    hull = F.coalesce(F.col("hull"), F.xxhash64("row", "place", F.lit(7)))
-    hulls = blocks.withColumn("hull", hull).groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("row", "place", "block", "near", "far")).alias("one"))
-    hulls = kept(hulls, "hulls")
-    cores = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.sum("n").alias("places"))
-    settled = blocks.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
-    whole = settled.select("row", (F.col("place") - high).alias("start"), (F.col("place") - low + length).alias("stop"))
-    # Cores with one hull are unique, or settled wholly.
-    rest = hulls.join(cores.where("hulls > 1").select("core"), "core", "left_semi").select("core", F.least("n", F.lit(2)).alias("n"), "one.*")
-    rest = rest.groupBy("row").agg(F.collect_list(F.struct("place", "near", "far", "core", "n")).alias("blocks"))
-    strings = kept(affected.select("row", "text").join(rest, "row").mapInPandas(_strings(length), "row long, start int, core long, rank long, n int"), "strings")
+    alive = found.join(again, "rank", "left_semi").groupBy("row").agg(F.collect_list("at").alias("at"))
+    affected = kept(texts.join(alive, "row").select("row", "text", "at"), "affected")
+    dropped(found)
+    same = lambda value, kind: F.transform("at", lambda x: F.lit(value).cast(kind))
+    first = affected.withColumns({"low": same(0, "smallint"), "high": same(length - seed, "smallint"), "core": same(0, "long"), "n": same(1, "int")})
+    settled, rest = _round(first, length, PARTS[0], strings=False)
+    affected = affected.select("row", "text")
+    smaller, rest = _round(affected.join(_by_row(rest), "row"), length, PARTS[1], strings=True)
+    place, near, far = F.shiftright("at", 2 * _DISTANCE_BITS), F.shiftright("at", _DISTANCE_BITS).bitwiseAND(_DISTANCE), F.col("at").bitwiseAND(_DISTANCE)
+    strings = rest.select("row", (place - far).alias("first"), "core", "n", F.posexplode("ranks").alias("k", "rank"))
+    strings = kept(strings.select("row", (F.col("first") + F.col("k")).alias("start"), "core", "rank", "n"), "strings")
     twice = strings.groupBy("core", "rank").agg(F.sum("n").alias("n")).where("n > 1").select("core", "rank")
     single = strings.join(twice, ["core", "rank"], "left_semi").select("row", "start", (F.col("start") + length).alias("stop"))
-    return whole.unionByName(single).distinct(), affected.select("row", "text")
+    return settled.unionByName(smaller).unionByName(single), affected
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

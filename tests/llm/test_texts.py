@@ -1,6 +1,7 @@
 """Exact dedup, substring dedup, near-duplicates and tokens against brute force; every case of the docstrings."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -243,3 +244,13 @@ def test_pack_hard_sizes(spark):
     assert len(found) == 180 and len({r.sequence_id for r in found}) <= max(alone) + 1
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([(1, 4000)], "row long, length long"))
+
+
+def test_repeats_across_stretches(spark):
+    """A text of several stretches that repeats nothing but one passage, which lies where two of them meet."""
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=9_000_000))
+    cut = 1 << 22
+    passage = long[cut - 300 : cut + 300]
+    found = found_repeats(spark.createDataFrame([(1, long), (2, "0" + passage + "1"), (3, "x")], "doc_id long, text string"))
+    assert [x[:4] for x in found] == [(1, 9_000_000, 600, 1), (2, 602, 600, 1), (3, 1, 0, 0)]
