@@ -221,8 +221,8 @@ def _by_row(blocks: DataFrame) -> DataFrame:
     return own.select("row", *(F.col(f"own.{c}").alias(c) for c in _NAMES))
 
 
-def _round(joined: DataFrame, length: int, parts: int, strings: bool) -> tuple[DataFrame, DataFrame]:
-    """(spans of settled blocks, what remains of the others) after the blocks of texts have been parted and ranked."""
+def _round(joined: DataFrame, length: int, parts: int, strings: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans of settled blocks, what remains of the others, the table that is read for these) after the blocks of texts have been parted and ranked."""
     more = ["ranks"] * strings
     parted = joined.mapInPandas(_ranks(length, parts, strings), f"{_BLOCK}, hull long" + ", ranks array<long>" * strings)
     # A hull that leaves its text stands for itself.
@@ -235,7 +235,7 @@ def _round(joined: DataFrame, length: int, parts: int, strings: bool) -> tuple[D
     # Cores with one hull are unique, or settled wholly.
     open_cores = hulls.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core")
     rest = hulls.join(open_cores, "core", "left_semi").select("one.*", "core", F.least("n", F.lit(2)).cast("int").alias("n"))
-    return spans, rest
+    return spans, rest, hulls
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -250,12 +250,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
     dropped(found)
     same = lambda value, kind: F.transform("at", lambda x: F.lit(value).cast(kind))
     first = affected.withColumns({"low": same(0, "smallint"), "high": same(length - seed, "smallint"), "core": same(0, "long"), "n": same(1, "int")})
-    settled, rest = _round(first, length, PARTS[0], strings=False)
+    settled, rest, read = _round(first, length, PARTS[0], strings=False)
     affected = affected.select("row", "text")
-    smaller, rest = _round(affected.join(_by_row(rest), "row"), length, PARTS[1], strings=True)
+    smaller, rest, read_again = _round(affected.join(_by_row(rest), "row"), length, PARTS[1], strings=True)
+    dropped(read)
     place, near, far = F.shiftright("at", 2 * _DISTANCE_BITS), F.shiftright("at", _DISTANCE_BITS).bitwiseAND(_DISTANCE), F.col("at").bitwiseAND(_DISTANCE)
     strings = rest.select("row", (place - far).alias("first"), "core", "n", F.posexplode("ranks").alias("k", "rank"))
     strings = kept(strings.select("row", (F.col("first") + F.col("k")).alias("start"), "core", "rank", "n"), "strings")
+    dropped(read_again)
     twice = strings.groupBy("core", "rank").agg(F.sum("n").alias("n")).where("n > 1").select("core", "rank")
     single = strings.join(twice, ["core", "rank"], "left_semi").select("row", "start", (F.col("start") + length).alias("stop"))
     return settled.unionByName(smaller).unionByName(single), affected
