@@ -29,10 +29,15 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
+    """Writes a table to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing.
+
+    The shuffles that made the table are read no more. Spark deletes their files once the driver has collected what
+    refers to them, so a collection is asked for: disks then hold the shuffles of one step, not of all.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
