@@ -141,12 +141,32 @@ def _find_anchors(length: int, seed: int) -> Callable:
     return run
 
 
+#: Columns of blocks that go with the text of their document.
+_NAMES = ["at", "low", "high", "core", "n"]
 _BLOCK = "row long, at long, low smallint, high smallint, core long, n int"
 
 
-def _ranks(length: int, parts: int, strings: bool) -> Callable:
-    """The smaller blocks of a document's blocks, with the ranks of core and hull (null where the hull leaves the text) and,
-    if asked, of each of its strings."""
+def _texts_at_once(of_text: Callable, frame: Callable) -> Callable:
+    """Applies of_text to the bytes and blocks of each document; frame makes bounded batches of what it found."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, found, size = [], [], 0
+            for row, text, *own in batch[["row", "text", *_NAMES]].itertuples(index=False, name=None):
+                rows.append(row)
+                found.append(of_text(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), *(np.asarray(x, dtype=np.int64) for x in own)))
+                size += len(found[-1][0])
+                if size > 50_000:
+                    yield frame(rows, found)
+                    rows, found, size = [], [], 0
+            if found:
+                yield frame(rows, found)
+
+    return run
+
+
+def _ranks(length: int, parts: int) -> Callable:
+    """The smaller blocks of a document's blocks, with the ranks of core and hull (null where the hull leaves the text)."""
 
     def of_text(raw: np.ndarray, at, low, high, core, n) -> tuple[np.ndarray, ...]:
         h = Hashes(raw)
@@ -166,31 +186,31 @@ def _ranks(length: int, parts: int, strings: bool) -> Callable:
         own = mixed(core.view(np.uint64) + h.of(place - low, place - high + length) + part.astype(np.uint64)).view(np.int64)
         inside = (place - high >= 0) & (place - low + length <= len(raw))
         hull = h.of(np.where(inside, place - high, 0), np.where(inside, place - low + length, 0)).view(np.int64)
-        many = far - near + 1
-        start = np.repeat(place - far - np.cumsum(many) + many, many) + np.arange(many.sum())
-        each = np.split(h.of(start, start + length).view(np.int64), np.cumsum(many)[:-1]) if strings and len(many) else []
-        return packed(place, near, far), low, high, own, n, hull, inside, each
+        return packed(place, near, far), low, high, own, n, hull, inside
 
     def frame(rows: list[int], found: list[tuple]) -> pd.DataFrame:
         at, low, high, core, n, hull, inside = (np.concatenate([f[k] for f in found]) for k in range(7))
         out = pd.DataFrame({"row": np.repeat(rows, [len(f[0]) for f in found]), "at": at, "low": low.astype(np.int16), "high": high.astype(np.int16), "core": core, "n": n.astype(np.int32)})
         out["hull"] = pd.arrays.IntegerArray(hull, ~inside)
-        return out.assign(ranks=[x for f in found for x in f[7]]) if strings else out
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, found, size = [], [], 0
-            for row, text, *own in batch[["row", "text", "at", "low", "high", "core", "n"]].itertuples(index=False, name=None):
-                rows.append(row)
-                found.append(of_text(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), *(np.asarray(x, dtype=np.int64) for x in own)))
-                size += len(found[-1][0])
-                if size > 50_000:
-                    yield frame(rows, found)
-                    rows, found, size = [], [], 0
-            if found:
-                yield frame(rows, found)
+    return _texts_at_once(of_text, frame)
 
-    return run
+
+def _strings(length: int) -> Callable:
+    """Each string of a document's blocks, with its rank and the core of its block."""
+
+    def of_text(raw: np.ndarray, at, low, high, core, n) -> tuple[np.ndarray, ...]:
+        place, near, far = unpacked(at)
+        many = far - near + 1
+        start = np.repeat(place - far - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return start, np.repeat(core, many), Hashes(raw).of(start, start + length).view(np.int64), np.repeat(n, many)
+
+    def frame(rows: list[int], found: list[tuple]) -> pd.DataFrame:
+        start, core, rank, n = (np.concatenate([f[k] for f in found]) for k in range(4))
+        return pd.DataFrame({"row": np.repeat(rows, [len(f[0]) for f in found]), "start": start, "core": core, "rank": rank, "n": n.astype(np.int32)})
+
+    return _texts_at_once(of_text, frame)
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,22 +232,18 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "kept_sha256"])
 
 
-_NAMES = ["at", "low", "high", "core", "n"]
-
-
 def _by_row(blocks: DataFrame) -> DataFrame:
     """A row for each document, with its blocks as arrays."""
     own = blocks.groupBy("row").agg(F.collect_list(F.struct(*_NAMES)).alias("own"))  # of one document
     return own.select("row", *(F.col(f"own.{c}").alias(c) for c in _NAMES))
 
 
-def _round(joined: DataFrame, length: int, parts: int, strings: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _round(joined: DataFrame, length: int, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans of settled blocks, what remains of the others, the table that is read for these) after the blocks of texts have been parted and ranked."""
-    more = ["ranks"] * strings
-    parted = joined.mapInPandas(_ranks(length, parts, strings), f"{_BLOCK}, hull long" + ", ranks array<long>" * strings)
+    parted = joined.mapInPandas(_ranks(length, parts), f"{_BLOCK}, hull long")
     # A hull that leaves its text stands for itself.
     parted = kept(parted.withColumn("hull", F.coalesce("hull", F.xxhash64("row", "at", "low"))), "blocks")
-    hulls = kept(parted.groupBy("core", "hull").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "low", "high", *more)).alias("one")), "hulls")
+    hulls = kept(parted.groupBy("core", "hull").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "low", "high")).alias("one")), "hulls")
     settled = parted.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
     place = F.shiftright("at", 2 * _DISTANCE_BITS)
     spans = kept(settled.select("row", (place - F.col("high")).alias("start"), (place - F.col("low") + length).alias("stop")), "spans")
@@ -245,18 +261,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
     texts = docs.where(F.octet_length("text") >= length).select("row", "text")
     found = kept(texts.mapInPandas(_find_anchors(length, seed), "row long, at long, rank long"), "anchors")
     again = found.groupBy("rank").count().where("count > 1").select("rank")
-    alive = found.join(again, "rank", "left_semi").groupBy("row").agg(F.collect_list("at").alias("at"))
-    affected = kept(texts.join(alive, "row").select("row", "text", "at"), "affected")
+    alive = kept(found.join(again, "rank", "left_semi").groupBy("row").agg(F.collect_list("at").alias("at")), "alive")  # of one document
     dropped(found)
+    affected = kept(texts.join(alive, "row").select("row", "text", "at"), "affected")
+    dropped(alive)
     same = lambda value, kind: F.transform("at", lambda x: F.lit(value).cast(kind))
     first = affected.withColumns({"low": same(0, "smallint"), "high": same(length - seed, "smallint"), "core": same(0, "long"), "n": same(1, "int")})
-    settled, rest, read = _round(first, length, PARTS[0], strings=False)
+    settled, rest, read = _round(first, length, PARTS[0])
     affected = affected.select("row", "text")
-    smaller, rest, read_again = _round(affected.join(_by_row(rest), "row"), length, PARTS[1], strings=True)
+    smaller, rest, read_again = _round(affected.join(_by_row(rest), "row"), length, PARTS[1])
     dropped(read)
-    place, near, far = F.shiftright("at", 2 * _DISTANCE_BITS), F.shiftright("at", _DISTANCE_BITS).bitwiseAND(_DISTANCE), F.col("at").bitwiseAND(_DISTANCE)
-    strings = rest.select("row", (place - far).alias("first"), "core", "n", F.posexplode("ranks").alias("k", "rank"))
-    strings = kept(strings.select("row", (F.col("first") + F.col("k")).alias("start"), "core", "rank", "n"), "strings")
+    strings = affected.join(_by_row(rest), "row").mapInPandas(_strings(length), "row long, start long, core long, rank long, n int")
+    strings = kept(strings, "strings")
     dropped(read_again)
     twice = strings.groupBy("core", "rank").agg(F.sum("n").alias("n")).where("n > 1").select("core", "rank")
     single = strings.join(twice, ["core", "rank"], "left_semi").select("row", "start", (F.col("start") + length).alias("stop"))
