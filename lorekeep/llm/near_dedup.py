@@ -7,11 +7,13 @@ corrected for chance, and those that pass (with a margin of six standard deviati
 Confirmed links make components; one document of each, that with the smallest identifier, is kept.
 
 No bucket is expanded into all its pairs. First every member is compared with its bucket's smallest member, and what passes the
-estimate makes families, what is confirmed makes components. A family that is one component has nothing left to find. In
-the others, all members outside the largest component are compared with the rest of the family, in blocks of BLOCK members
-a side that are tasks of their own: there too the estimate comes first, then the full sets, and pairs that are linked
-already are passed over. So a link can be missed only if its documents share no bucket: at a similarity of 0.8 with a
-chance of (1 - 0.8^ROWS)^BANDS = 5e-7.
+estimate makes families, what is confirmed makes components. Then, in buckets whose other members are of several families,
+those of different families are compared too, by their signatures, and what passes joins their families. So any two
+documents that share a bucket and pass the estimate are in one family. A family that is one component has nothing left to find. In
+the others, all members outside the largest component are compared with the rest of the family. Both comparisons are made in
+blocks of BLOCK members a side that are tasks of their own, and pass over pairs that are joined already; in families
+the estimate comes first there too, then the full sets. So a link can be missed only if its documents share no bucket
+(at a similarity of 0.8 with a chance of (1 - 0.8^ROWS)^BANDS = 5e-7) or by an estimate six standard deviations off.
 
 Null and empty texts have empty sets and link with nothing. Rows that repeat a doc_id are one document, for which the
 greatest of their texts stands; each gets its answer. Rows with a null doc_id link with nothing, have a null component_id
@@ -37,6 +39,8 @@ PERMUTATIONS = BANDS * ROWS
 BITS = 4
 #: Members of a side of a block.
 BLOCK = 500
+#: Rows of small buckets that one task compares at a time.
+ROWS_AT_ONCE = 10_000
 _rng = np.random.default_rng(88)
 _XOR = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -153,6 +157,38 @@ def _blocks(k: int, percent: int, floor: float) -> Callable:
     return run
 
 
+def _joins(floor: float) -> Callable:
+    """Pairs that pass the estimate and join different families of a bucket: of its side 0 with its side 1, or within side 2.
+    Blocks of side 2 hold the rows of many buckets."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby("bucket", sort=False):
+            within = bool((own["side"] == 2).any())
+            sides = [own, own] if within else [own[own["side"] == s] for s in (0, 1)]
+            if not min(map(len, sides)):
+                continue
+            signs = [np.frombuffer(b"".join(s["sign"]), dtype=np.uint8).reshape(len(s), -1) for s in sides]
+            nodes, labels = [s["node"].to_numpy() for s in sides], [s["label"].to_numpy().copy() for s in sides]
+            labels[1] = labels[0] if within else labels[1]
+            for x in range(len(nodes[0])):
+                other = labels[1] != labels[0][x]
+                if within:
+                    other[: x + 1] = False
+                other = np.flatnonzero(other)
+                if not len(other):
+                    continue
+                for y in other[estimate(signs[0][x], signs[1][other]) >= floor]:
+                    if labels[0][x] != labels[1][y]:
+                        out.append(sorted((int(nodes[0][x]), int(nodes[1][y]))))
+                        old, new = labels[1][y], labels[0][x]
+                        for side in labels[: 1 if within else 2]:
+                            side[side == old] = new
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _confirm(k: int, percent: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,26 +218,46 @@ def _estimated(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInPandas(_passing(floor), "a long, b long")
 
 
-def _between(families: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of the blocks that compare different components of a family: block, side, node, label, sign, text."""
-    own = families.select("node", F.col("label").alias("family")).join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
-    parts = own.groupBy("family", "label").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("family").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("major"), F.max("n").alias("majors"), F.sum("n").alias("n"))
+def _dealt(own: DataFrame) -> DataFrame:
+    """Rows of the blocks that compare different labels of a group: group, block, side, node, label. own: group, node, label."""
+    parts = own.groupBy("group", "label").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("major"), F.max("n").alias("majors"), F.sum("n").alias("n"))
     chunks = lambda n: F.ceil(n / BLOCK).cast("int")
-    whole = whole.where("parts > 1").select("family", "major", chunks(F.col("majors")).alias("ca"), chunks(F.col("n") - F.col("majors")).alias("co"))
-    rows = own.join(whole, "family").withColumn("in_major", F.col("label") == F.col("major"))
+    whole = whole.where("parts > 1").select("group", "major", chunks(F.col("majors")).alias("ca"), chunks(F.col("n") - F.col("majors")).alias("co"))
+    rows = own.join(whole, "group").withColumn("in_major", F.col("label") == F.col("major"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("in_major"), F.col("ca")).otherwise(F.col("co"))).cast("int"))
-    name = lambda kind, i, j: F.concat_ws("-", "family", F.lit(kind), i, j)
+    name = lambda kind, i, j: F.concat_ws("-", "group", F.lit(kind), i, j)
     block = lambda key, side: F.struct(key.alias("block"), side.alias("side"))
     outside = F.sequence(F.lit(0), F.col("co") - 1)
     of_major = F.transform(outside, lambda j: block(name("a", F.col("chunk"), j), F.lit(0)))
     with_major = F.transform(F.sequence(F.lit(0), F.col("ca") - 1), lambda i: block(name("a", i, F.col("chunk")), F.lit(1)))
     with_others = F.transform(outside, lambda j: block(name("o", F.least("chunk", j), F.greatest("chunk", j)), F.when(F.col("chunk") == j, 2).otherwise((F.col("chunk") > j).cast("int"))))
     rows = rows.withColumn("at", F.explode(F.when(F.col("in_major"), of_major).otherwise(F.concat(with_major, with_others))))
-    rows = rows.select("at.block", "at.side", "node", "label")
+    return rows.select("group", "at.block", "at.side", "node", "label")
+
+
+def _between(families: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of the blocks that compare different components of a family: block, side, node, label, sign, text."""
+    own = families.select("node", F.col("label").alias("group")).join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label"))
+    rows = _dealt(own).drop("group")
     return rows.join(classes.select("node", "sign"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node").select("block", "side", "node", "label", "sign", "text")
 
 
+def _across(members: DataFrame, families: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
+    """Pairs that join families which meet in a bucket: written, a long, b long. The lead of a bucket has met all of it."""
+    own = members.where("n > 2 AND node <> lead").select("key", "node", "n").join(families, "node", "left")
+    own = own.select("key", "node", F.coalesce("label", "node").alias("label"), "n")
+    several = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    own = kept(own.join(several, "key"), "meetings")
+    some = max(1, own.count() // ROWS_AT_ONCE)
+    few = own.where(f"n <= {BLOCK}").select(F.col("key").alias("bucket"), F.concat(F.lit("few-"), F.pmod(F.xxhash64("key"), F.lit(some))).alias("block"), F.lit(2).alias("side"), "node", "label")
+    many = _dealt(own.where(f"n > {BLOCK}").select(F.col("key").alias("group"), "node", "label")).withColumnRenamed("group", "bucket")
+    rows = few.unionByName(many).join(classes.select("node", "sign"), "node")
+    found = kept(rows.groupBy("block").applyInPandas(_joins(floor), "a long, b long").distinct(), "across")
+    dropped(own)
+    return found
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links hold at 100 * intersection >= percent * union.
 
@@ -228,6 +284,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = kept(_estimated(pairs, classes, floor), "near")
     links = kept(_confirmed(near, texts, words, percent), "links")
     labels, families = connected_components(links), connected_components(near)
+    across = _across(members, families, classes, floor)
+    if across.limit(1).count():
+        families = connected_components(near.unionByName(across))
     more = kept(_between(families, labels, classes, texts).groupBy("block").applyInPandas(_blocks(words, percent, floor), "a long, b long"), "more-links")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))

@@ -11,7 +11,7 @@ import pytest
 from conftest import rows_of, sql_rows
 from tokenizers import Tokenizer
 
-from lorekeep.llm import queries
+from lorekeep.llm import near_dedup, queries
 from lorekeep.llm.common import connected_components
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.near_dedup import near_duplicates
@@ -158,6 +158,24 @@ def test_components(spark):
     assert found == {i: 1 for i in range(1, n + 1)} | {i: 1000 for i in range(1000, 1400)}
 
 
+def test_near_behind_unlike_leads(spark):
+    """Two like texts each of whose shared buckets is led by a third text that both are unlike."""
+    words = [f"v{i}" for i in range(100)]
+    lows = near_dedup.minima(near_dedup.shingle_sets(words, 1))
+    rows = near_dedup.ROWS
+    leads = [" ".join({words[i] for i in lows[:, b * rows : (b + 1) * rows].argmin(axis=0)}) for b in range(near_dedup.BANDS)]
+    docs = [*enumerate(leads), (100, " ".join(words)), (101, " ".join([*words[5:], "w1"]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (near_dedup.BLOCK, 1):
+        old, near_dedup.BLOCK = near_dedup.BLOCK, block
+        try:
+            found = sorted(tuple(r) for r in near_duplicates(table, words=1).collect())
+        finally:
+            near_dedup.BLOCK = old
+        assert found == brute_near(docs, 1, 80)
+        assert {c for i, _, c, _ in found if i >= 100} == {100}
+
+
 # --- tokens
 
 
