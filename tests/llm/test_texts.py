@@ -176,6 +176,16 @@ def test_near_behind_unlike_leads(spark):
         assert {c for i, _, c, _ in found if i >= 100} == {100}
 
 
+def test_components_of_long_chains(spark):
+    """Two chains, of shuffled identifiers and with the smallest next to the largest."""
+    n = 3000
+    links = []
+    for ids in (random.Random(5).sample(range(n), n), [n, *range(2 * n - 1, n, -1)]):
+        links += zip(ids, ids[1:], strict=False)
+    found = {r.node: r.label for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: i // n * n for i in range(2 * n)}
+
+
 # --- tokens
 
 
