@@ -58,6 +58,18 @@ def with_fallback(queries: DataFrame, exact: DataFrame, rest: DataFrame) -> Data
     return exact.select(*columns).unionByName(rest.join(open_queries, "query_id", "left_semi").select(*columns))
 
 
+def tiers(queries: DataFrame, entries: DataFrame, least: float = MIN_SCORE, most: int = PER_ANSWER) -> DataFrame:
+    """Both tiers, of entries other than the query's own: exact hits, and for queries without any, the nearest by vector.
+
+    queries: query_id, fp, vec; entries: entry_id, fp, strength, vec. A null key hits nothing, a null vector is near nothing."""
+    exact = exact_hits(queries.select("query_id", "fp"), entries.select("entry_id", "fp", "strength"), most=PER_KEY).where("entry_id <> query_id")
+    exact = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= most)
+    open_queries = queries.join(exact.select("query_id"), "query_id", "left_anti")
+    near = semantic_hits(open_queries, entries, least, most + 1).where("entry_id <> query_id")  # itself is one of them at most
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= most)
+    return with_fallback(queries, exact, near)
+
+
 def relevant(hits: DataFrame, least: float = MIN_SCORE, spread: float = SPREAD) -> DataFrame:
     """Hits that are good and near the best of their query; hits without a score stay."""
     best = F.max("score").over(Window.partitionBy("query_id"))

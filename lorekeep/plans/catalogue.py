@@ -381,7 +381,8 @@ h AS (SELECT query_id, doc_id AS entry_id, n_chars, row_number() OVER (PARTITION
 SELECT query_id, entry_id, rank FROM h WHERE rank <= 5
 """)
 def exact_lookup_cap(spark, sf_dir):
-    """Entries by key, at most 64 a key and 5 an answer."""
+    """Entries by key, at most 64 a key and 5 an answer. Its SQL fixes keys of 200 characters and a tenth of the documents as
+    queries; exact_lookup has the whole texts and all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring("text", 1, 200), 256).alias("fp"), "n_chars")
     asked = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "fp")
     return search.exact_hits(asked, docs.select(F.col("doc_id").alias("entry_id"), "fp", F.col("n_chars").alias("strength"))).select("query_id", "entry_id", "rank")
@@ -394,7 +395,8 @@ r AS (SELECT q.query_id, d.doc_id AS entry_id, 1 AS rank FROM q JOIN documents d
 SELECT query_id, entry_id, rank, 'fingerprint' AS via FROM e WHERE rank <= 5 UNION ALL SELECT query_id, entry_id, rank, 'semantic' FROM r
 """)
 def search_fallback(spark, sf_dir):
-    """Exact hits other than oneself; where there are none, a stand-in for the second tier: the next document."""
+    """Exact hits other than oneself; where there are none, a stand-in for the second tier, fixed by its SQL: the next document.
+    search_tiers has the whole texts and the tier by vectors."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2(F.substring("text", 1, 200), 256).alias("fp"), F.lit(0).alias("strength"))
     asked = docs.where("entry_id % 10 = 0").select(F.col("entry_id").alias("query_id"), "fp")
     exact = search.exact_hits(asked, docs, most=search.PER_KEY).where("entry_id <> query_id")
@@ -403,6 +405,24 @@ def search_fallback(spark, sf_dir):
     return search.with_fallback(asked, exact, nearest).select("query_id", "entry_id", "rank", "via")
 
 
+@query()
+def exact_lookup(spark, sf_dir):
+    """Each document's entries of the same whole text (itself among them), at most 64 a key and 5 an answer."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2("text", 256).alias("fp"), F.col("n_chars").alias("strength"))
+    return search.exact_hits(docs.select(F.col("entry_id").alias("query_id"), "fp"), docs).select("query_id", "entry_id", "rank")
+
+
+@query()
+def search_tiers(spark, sf_dir):
+    """Both tiers for the stated queries, doc_id % 50 = 0: exact hits by the whole text, else the nearest by the vector of
+    the same number, from 0.2 on as in semantic_topk. Entries are all documents and all vectors."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2("text", 256).alias("fp"), F.lit(0).alias("strength"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"))
+    entries = docs.join(vectors, "entry_id", "full")
+    asked = docs.where("entry_id % 50 = 0").join(vectors, "entry_id", "left").select(F.col("entry_id").alias("query_id"), "fp", "vec")
+    return search.tiers(asked, entries, 0.2).select("query_id", "entry_id", "rank", "via", F.round("score", 6).alias("score"))
+
+
 @query("""
 WITH p AS (SELECT p_partkey, p_type AS name, p_size || '.' || (p_partkey % 7) AS yours, (p_partkey % 50) || '.' || (p_partkey % 3) || '.1' AS trail FROM part),
 m AS (SELECT *, CASE WHEN split_part(yours, '.', 1) = '0' THEN '0.' || split_part(yours, '.', 2) ELSE split_part(yours, '.', 1) END AS a,
