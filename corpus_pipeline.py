@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import kept, numbered, read_table
 from lorekeep.llm.exact_dedup import exact_dedup
-from lorekeep.llm.language_id import UNKNOWN, identify, train
+from lorekeep.llm.language_id import UNKNOWN, grams, identify, train
 from lorekeep.llm.mixing import WORD, mix
 from lorekeep.llm.near_dedup import near_duplicates
 from lorekeep.llm.packing import pack_documents
@@ -25,10 +25,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.5
 
 
+def _with_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[[len(grams(text)[0]) > 0 for text in batch["text"]]]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those without a leading language; learns from all labelled rows."""
+    """Rejects documents without letters and those without a leading language; learns from all labelled rows.
+    Where no row is labelled there is nothing to learn from, and all documents with letters stay."""
     docs = docs.select(*COLUMNS)
     langs, logs = train(docs)
+    if not langs:
+        return docs.mapInPandas(_with_letters, docs.schema)
     return identify(docs, langs, logs, COLUMNS).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
@@ -75,7 +83,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mixing), ("best-fit packing", packing)]
 
-#: Languages, signatures, draws and packing are not expressible in SQL; see tests/llm for the brute-force versions.
+#: Languages, signatures, draws and packing are not expressible in SQL; see tests/llm/test_pipeline.py for the brute-force
+#: versions of the first three stages, and test_records.py and test_texts.py for the mix and the packing.
 ORACLE_SQL = None
 
 
