@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import error_keys, lines, names, redaction, versions
 from ..operators import publish, search, stats, strength
+from ..streaming import sessions as machine
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -547,3 +548,36 @@ SELECT entry, string_agg(outcome || ':' || event_id, ',' ORDER BY b) AS caveats
 def caveats(spark, sf_dir):
     rows = reports(spark, sf_dir).where("outcome IS NOT NULL").select(F.col("user_id").alias("entry"), "agent", "at", F.col("event_id").alias("report_id"), "outcome", F.col("event_id").cast("string").alias("note"))
     return strength.caveats(rows).select("entry", F.concat_ws(",", F.transform("caveats", lambda c: F.concat_ws(":", c["outcome"], c["note"]))).alias("caveats"))
+
+
+_LETTER_SQL = "chr((97 + k % 7)::INT)"
+
+
+@query(f"""
+WITH raw AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS at_ms, {_K_SQL} AS k, event_type FROM events),
+e AS (SELECT session, at_ms, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'works' ELSE 'miss' END AS kind,
+  CASE WHEN event_type <> 'view' THEN 'tool' || chr((97 + k % 3)::INT) || ' run' END AS key, CASE WHEN event_type = 'error' THEN 'Error: bad ' || {_LETTER_SQL} ELSE '' END AS line, k
+  FROM raw WHERE event_type IN ('error', 'purchase', 'view')),
+o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY at_ms, kind, coalesce(key, ''), line) AS i FROM e),
+s AS (SELECT *, last_value(CASE WHEN kind = 'fail' THEN key END IGNORE NULLS) OVER w AS failed, last_value(CASE WHEN kind = 'miss' THEN i END IGNORE NULLS) OVER w AS missed FROM o
+  WINDOW w AS (PARTITION BY session ORDER BY i ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT session, min(i) AS i FROM s WHERE kind = 'works' AND key = failed AND missed IS NOT NULL GROUP BY session, missed),
+c AS (SELECT s.*, p.i IS NOT NULL AS publishes, count(p.i) OVER (PARTITION BY s.session ORDER BY s.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s LEFT JOIN p USING (session, i)),
+f AS (SELECT session, before, arg_min(line, i) AS line, arg_min(at_ms, i) AS since FROM c WHERE kind = 'fail' GROUP BY session, before)
+SELECT session::VARCHAR AS session, min(at_ms) AS at_ms, 'failed' AS say, line, NULL::BIGINT AS since FROM o WHERE kind = 'fail' GROUP BY session, line
+UNION ALL SELECT session::VARCHAR, at_ms, 'publish', '', NULL FROM c WHERE publishes
+UNION ALL SELECT c.session::VARCHAR, c.at_ms, 'unaided', f.line, f.since FROM c JOIN f ON f.session = c.session AND f.before = c.before WHERE publishes
+""")
+def session_replay(spark, sf_dir):
+    """The session machine over all events: an error is a failed command, a purchase one that works, a view a search without a
+    match. Nothing is throttled and problems stay open, so that SQL can say the same."""
+    events, k = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase', 'view')"), F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int")
+    kind, letter = F.col("event_type"), lambda n, of: F.char(F.lit(n) + k % F.lit(of))
+    raw = events.select(
+        F.col("user_id").cast("string").alias("session"), F.col("ts").alias("at"), F.when(kind == "error", "failure").otherwise("success").alias("event"),
+        F.when(kind == "view", "a_search").otherwise("Bash").alias("tool"), F.concat(F.lit("tool"), letter(97, 3), F.lit(" run")).alias("command"),
+        F.when(kind == "view", "No entry in the public colony matches this").otherwise("ok").alias("response"), F.when(kind == "error", F.concat(F.lit("Exit code 1\nError: bad "), letter(97, 7))).alias("error"),
+        F.lit(None).cast("int").alias("exit_code"), F.lit(False).alias("interrupted"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("entry_id"),
+    )
+    policy = machine.Policy(apart=0, most=10**12, seen=10**6, open_for=10**12)
+    return machine.replayed(raw, policy).select("session", F.col("at").alias("at_ms"), "say", "line", "since")
