@@ -3,7 +3,8 @@
 The rules run in order, most specific first. A rule finds values by pattern; a guard may refuse a match. What replaces a
 value starts with `<`, which no value pattern takes, so redacting twice changes nothing. Patterns are bounded, so hostile
 text costs linear time. Conditional replacement is beyond Spark's regular expressions, so the rules run in an Arrow
-function, behind a native test that lets through only rows that hold a character or word that some rule needs.
+function. What a rule's matches cannot do without, some literal, is derived from its pattern; a rule runs only on texts
+that hold one of its literals, and texts that hold none of any rule's never leave the JVM.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,15 +46,19 @@ OPTIONS = r"password|passwd|pwd|pass|passphrase|secret|token|api[_-]?key|access[
 PG_FIELD = r"(?:\\.|[^:\s\\'\x22<>])+"
 PG_LINE = rf"(?:\*|[0-9_\-]*[A-Za-z.][A-Za-z0-9_.\-]*):(?:[0-9]{{4,5}}|\*):{PG_FIELD}:{PG_FIELD}:"
 MYSQL = r"(?:mysql(?:dump|admin|import|check|show|pump|slap|binlog|sh)?|mariadb(?:-?dump|-admin|-import|-check|-show)?)"
-_ORG = (
-    r"(?:(?:{lead})?(?:(?:organi[sz]ations?|org|compan(?:y|ies)|tenants?|customers?|owners?|authors?|"
+ORG_KEY = (
+    r"(?:(?:[A-Za-z0-9_.\-]{0,64}[._\-])?(?:(?:organi[sz]ations?|org|compan(?:y|ies)|tenants?|customers?|owners?|authors?|"
     r"contacts?|maintainers?|publishers?|vendors?|employers?)(?:[_.\-]?(?:name|title))?|"
     r"(?:client|display|full|legal|trade|business|brand)[_.\-]?name)|"
-    r"(?:{lead})?(?:connector|product|portal|brand|app|ui|site)[._\-](?:{lead})?title)"
+    r"(?:[A-Za-z0-9_.\-]{0,64}[._\-])?(?:connector|product|portal|brand|app|ui|site)[._\-](?:[A-Za-z0-9_.\-]{0,64}[._\-])?title)"
 )
-ORG_KEY = _ORG.replace("{lead}", r"[A-Za-z0-9_.\-]{0,64}[._\-]")
-ORG_KEY_LINE = _ORG.replace("{lead}", r"[A-Za-z0-9_][A-Za-z0-9_.\-]{0,63}[._\-]")
-_HOST = r"(^|[^A-Za-z0-9.\-_])(?:[A-Za-z0-9\-]{1,63}\.){1,10}(?:internal|corp|intranet|lan|localdomain|home\.arpa)($|[^A-Za-z0-9.\-_]|\.\s)"
+ORG_KEY_LINE = (
+    r"(?:(?:[A-Za-z0-9_][A-Za-z0-9_.\-]{0,63}[._\-])?(?:(?:organi[sz]ations?|org|compan(?:y|ies)|tenants?|customers?|owners?|authors?|"
+    r"contacts?|maintainers?|publishers?|vendors?|employers?)(?:[_.\-]?(?:name|title))?|"
+    r"(?:client|display|full|legal|trade|business|brand)[_.\-]?name)|"
+    r"(?:[A-Za-z0-9_][A-Za-z0-9_.\-]{0,63}[._\-])?(?:connector|product|portal|brand|app|ui|site)[._\-](?:[A-Za-z0-9_][A-Za-z0-9_.\-]{0,63}[._\-])?title)"
+)
+HOST = r"(?P<lead>^|[^A-Za-z0-9.\-_])(?:[A-Za-z0-9\-]{1,63}\.){1,10}(?:internal|corp|intranet|lan|localdomain|home\.arpa)(?P<tail>$|[^A-Za-z0-9.\-_]|\.\s)"
 # kind, pattern, flags, then what Rule says.
 _TABLE: list[tuple] = [
     ("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", ""),
@@ -106,8 +112,8 @@ _TABLE: list[tuple] = [
     ("mac", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", ""),
     ("hostname", r"(?P<lead>://|@)(?:[A-Za-z0-9\-]{1,63}\.){1,10}(?:internal|corp|intranet|lan|localdomain|home\.arpa|local)\b", "i"),
     # Twice: a match takes the character after a name, which would hide a name that follows it.
-    ("hostname", _HOST.replace("(^", "(?P<lead>^", 1).replace("($", "(?P<tail>$", 1), "i"),
-    ("hostname", _HOST.replace("(^", "(?P<lead>^", 1).replace("($", "(?P<tail>$", 1), "i"),
+    ("hostname", HOST, "i"),
+    ("hostname", HOST, "i"),
     ("phone", r"\+[0-9]{1,3}[\s.\-]?\(?[0-9]{2,4}\)?[\s.\-]?[0-9]{3,4}[\s.\-]?[0-9]{3,4}\b", ""),
     ("card", r"\b[3-6](?:[ \-]?[0-9]){12,18}\b", "", "card"),
     ("home_path", r"(?P<lead>/home/|/Users/)[^/\s'\x22<>]+", ""),
@@ -120,10 +126,6 @@ _TABLE: list[tuple] = [
 LABELS = {"password_assignment": "<redacted:secret>", "home_path": "<user>"}
 # --- End of the fixed values. ----------------------------------------------------------------------------------------
 
-#: A row without any of these matches no rule.
-NEEDED = r"(?i)[0-9@=:$_/\\+\-]|bearer|password"
-
-
 def is_reference(value: str) -> bool:
     """Whether a value only points to a secret, or plainly is none."""
     low = value.lower()
@@ -170,6 +172,44 @@ GUARDS: dict[str, Callable[[re.Match], bool]] = {
 }
 
 
+#: A set of so many characters or fewer is spelled out as literals.
+MOST_CHOICES = 24
+#: Letters that Python takes for others where case is ignored, though their lower case differs: such texts are read by every rule.
+ODD_LETTERS = re.compile("[\u0130\u0131\u017f\u212a]")
+
+
+def literals(parsed) -> frozenset[str] | None:
+    """Of a parsed pattern: lower-case strings one of which is in every match, the longest found; None if there are none."""
+    best: frozenset[str] | None = None
+    run = ""
+
+    def offer(found: frozenset[str] | None) -> None:
+        nonlocal best
+        worth = lambda x: (min(map(len, x)), -len(x))
+        if found and all(found) and (best is None or worth(found) > worth(best)):
+            best = found
+
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        offer(frozenset({run}) if run else None)
+        run = ""
+        if name == "SUBPATTERN":
+            offer(literals(arg[-1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            offer(literals(arg[2]))
+        elif name == "BRANCH":
+            each = [literals(x) for x in arg[1]]
+            offer(frozenset().union(*each) if all(each) else None)
+        elif name == "IN" and not any(str(kind) in ("NEGATE", "CATEGORY") for kind, _ in arg):
+            chars = {chr(c).lower() for kind, x in arg for c in (range(x[0], x[1] + 1) if str(kind) == "RANGE" else [x])}
+            offer(frozenset(chars) if len(chars) <= MOST_CHOICES else None)
+    offer(frozenset({run}) if run else None)
+    return best
+
+
 @dataclass(frozen=True)
 class Rule:
     """A value is what a pattern matches between its groups lead and tail, both kept; the guard may refuse it."""
@@ -178,6 +218,11 @@ class Rule:
     pattern: re.Pattern
     guard: Callable[[re.Match], bool] | None
 
+    @cached_property
+    def needs(self) -> frozenset[str]:
+        """Lower-case strings one of which is in every match."""
+        return literals(re._parser.parse(self.pattern.pattern, self.pattern.flags)) or frozenset({""})
+
     def apply(self, text: str, counts: dict[str, int]) -> str:
         label = LABELS.get(self.kind, f"<redacted:{self.kind}>")
         groups = self.pattern.groupindex
@@ -200,12 +245,23 @@ def redact_text(text: str, keep_network: bool = False, keep_personal: bool = Fal
     """A text without secrets and personal data, and how many values of each kind it held."""
     kept = (NETWORK if keep_network else frozenset()) | (PERSONAL if keep_personal else frozenset())
     counts: dict[str, int] = {}
+    low = None if ODD_LETTERS.search(text) else text.lower()
     for rule in RULES:
-        if rule.kind not in kept:
-            text = rule.apply(text, counts)
+        if rule.kind not in kept and (low is None or any(x in low for x in rule.needs)):
+            new = rule.apply(text, counts)
+            if low is not None and new is not text:
+                low = new.lower()
+            text = new
     return text, counts
 
 
+def _needed() -> str:
+    """A pattern that finds some rule's literal, for rows that need the rules at all."""
+    every = sorted({x for r in RULES for x in r.needs})
+    shortest = [x for x in every if not any(y != x and y in x for y in every)]
+    return "(?iu)" + "|".join(["[\\u0130\\u0131\\u017f\\u212a]", *("".join(c if c.isalnum() else f"\\{c}" for c in x) for x in shortest)])
+
+
 _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.MapType(T.StringType(), T.LongType()))])
 
 
@@ -218,7 +274,7 @@ def redact(text: Column, keep_network: bool = False, keep_personal: bool = False
             found = [(None, None) if t is None else redact_text(t, keep_network, keep_personal) for t in batch]
             yield pd.DataFrame({"text": [t for t, _ in found], "kinds": [k for _, k in found]})
 
-    some = text.rlike(NEEDED)
+    some = text.rlike(_needed())
     nothing = F.create_map().cast("map<string,bigint>")
     done = run(F.when(some, text))
     return F.when(text.isNotNull(), F.struct(F.when(some, done["text"]).otherwise(text).alias("text"), F.when(some, done["kinds"]).otherwise(nothing).alias("kinds")))

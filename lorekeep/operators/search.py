@@ -5,6 +5,10 @@ Per-query branching is an anti join: queries with a surviving exact hit do not r
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +46,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
+#: Vectors of a block, of which a matrix is made.
+BLOCK = 1_024
+
+
+def _blocks(rows: DataFrame, name: str, vec: str) -> DataFrame:
+    """dim, ids, matrix: unit vectors by the block, as they lie in their partitions; nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, own in batch.groupby(batch["vec"].map(len)):
+                for at in range(0, len(own) if dim else 0, BLOCK):
+                    part = own.iloc[at : at + BLOCK]
+                    x = np.stack(part["vec"].to_numpy()).astype(np.float64)
+                    norms = np.linalg.norm(x, axis=1)
+                    good = np.isfinite(norms) & (norms > 0)
+                    if good.any():
+                        yield pd.DataFrame({"dim": [dim], "ids": [part["id"].to_numpy()[good].tolist()], "matrix": [(x[good] / norms[good, None]).tobytes()]})
+
+    whole = rows.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda v: v.isNull())).select(F.col(name).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    return whole.mapInPandas(run, "dim int, ids array<long>, matrix binary")
+
+
+def _nearest(least: float, most: int) -> Callable:
+    """Of each pair of blocks, the best entries of each query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, ids, matrix, q_dim, q_ids, q_matrix in batch.itertuples(index=False, name=None):
+                if dim != q_dim:
+                    continue
+                scores = np.frombuffer(q_matrix).reshape(-1, q_dim) @ np.frombuffer(matrix).reshape(-1, dim).T
+                ids = np.asarray(ids)
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :most]
+                found = np.take_along_axis(scores, order, axis=1)
+                q, k = np.nonzero(found >= least)
+                yield pd.DataFrame({"query_id": np.asarray(q_ids)[q], "entry_id": ids[order[q, k]], "score": found[q, k]})
+
+    return run
+
+
 def semantic_hits(queries: DataFrame, entries: DataFrame, least: float, most: int = PER_ANSWER) -> DataFrame:
     """The nearest entries of each query by cosine. queries is a stated set (a batch of requests) that is compared with every
-    entry; Spark broadcasts it only if its size allows. Only the best of each query and task are shuffled."""
-    scored = entries.select("entry_id", F.col("vec").alias("entry_vec")).join(queries.select("query_id", "vec")).withColumn("score", cosine(F.col("vec"), F.col("entry_vec")))
-    scored = scored.where(F.col("score") >= least).select("query_id", "entry_id", "score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("entry_id"))
+    entry, block by block as products of matrices; only the best of each query and block are shuffled. Vectors that are null, zero,
+    or hold nulls or no finite numbers are near nothing, as are those of another length."""
+    asked = _blocks(queries, "query_id", "vec").toDF("q_dim", "q_ids", "q_matrix")
+    scored = _blocks(entries, "entry_id", "vec").crossJoin(asked).mapInPandas(_nearest(least, most), "query_id long, entry_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("entry_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("via", F.lit("semantic"))
 
 

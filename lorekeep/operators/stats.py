@@ -99,8 +99,9 @@ def usage_sums(lines: DataFrame) -> DataFrame:
 def fail_then_fix(events: DataFrame, minutes: int = 45) -> DataFrame:
     """Each failure with the first success of the same session and key that follows within some minutes.
 
-    A window looks ahead in (session, key) order instead of a range join: one shuffle, rows in, rows out."""
-    ahead = Window.partitionBy("session", "key").orderBy(F.col("at"), F.col("event_id")).rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("ok"), F.struct("at", "event_id")), ignorenulls=True).over(ahead)
+    Read backwards in (session, key) order, the next success is the last one seen: a frame that only grows, one pass, one
+    shuffle, rows in, rows out."""
+    backwards = Window.partitionBy("session", "key").orderBy(F.desc("at"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("ok"), F.struct("at", "event_id")), ignorenulls=True).over(backwards)
     rows = events.withColumn("fix", nxt).where(~F.col("ok") & (F.col("fix.at") <= F.col("at") + F.make_dt_interval(mins=F.lit(minutes))))
     return rows.select("session", "key", "event_id", "at", F.col("fix.event_id").alias("fix_id"), F.col("fix.at").alias("fix_at"))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import error_keys, lines, names, redaction, versions
 from ..operators import publish, search, stats, strength
 from ..streaming import sessions as machine
+from . import published
 
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict = dict(published.QUERIES)
+SQL: dict = dict(published.SQL)
 LIVE_DAYS = 30
 
 
@@ -259,7 +260,7 @@ def compact_numbers(spark, sf_dir):
 
 _FP_CORE = "lower(url)"
 for _pattern, _to in (error_keys.RULES[0:5] + error_keys.RULES[9:12]):
-    _FP_CORE = f"regexp_replace({_FP_CORE}, '{_pattern.replace('~', chr(92) + 's').replace(chr(39), chr(39) * 2)}', '{_to}', 'g')"
+    _FP_CORE = f"regexp_replace({_FP_CORE}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{_to}', 'g')"
 _FP_CORE = rf"left(trim(regexp_replace({_FP_CORE}, '\s+', ' ', 'g')), 300)"
 
 

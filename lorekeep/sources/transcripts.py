@@ -10,10 +10,16 @@ LINE = f"type string, timestamp string, uuid string, message struct<id:string, m
 STEP = "step_index bigint, type string, content string, tool_calls array<struct<name:string, args:map<string,string>>>"
 
 
+#: Bits of a line's number that count lines within a split of a file; a split has no more lines than bytes.
+_SPLIT_BITS = 27
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """session (the file), line_no, line. A file is one row at first: transcripts are files of one session."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return files.where(F.trim("line") != "")
+    """session (the file), line_no, line. Long files are read in splits; line_no orders a file's lines (by split, then place in it)
+    and is no count."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _SPLIT_BITS) - 1))
+    at = F.shiftleft(F.col("_metadata.file_block_start"), _SPLIT_BITS) + place
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("session"), at.alias("line_no"), F.col("value").alias("line")).where(F.trim("line") != "")
 
 
 def usage_lines(lines: DataFrame, since: Column, until: Column) -> DataFrame:
