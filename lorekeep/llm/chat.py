@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_partitions
+from .common import lean, read_table, shuffle_partitions
 
 #: Which roles may come next; "" is the start. Every other step is invalid, and the machine goes on from the new role.
 NEXT = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
@@ -127,6 +127,7 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
     """One row per turn, in order within each partition: conv_id, turn_no from 0, role, valid, segments."""
     template = template or Template()
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state, number = (), "", 0
         for batch in batches:
@@ -147,6 +148,7 @@ def read_chat(formatted: DataFrame, template: Template | None = None) -> DataFra
     """From format_chat's rows, in its order: per conversation, digests of what the segments say, and whether all turns are valid."""
     template = template or Template()
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, conv, state = Reader(template), (), None
         out: list[tuple] = []

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, read_table, shuffle_partitions
+from .common import kept, lean, read_table, shuffle_partitions
 
 _RUNS = "doc_id long, run_keep long, run_size long, run_first boolean, edge boolean, n_bytes long, text_sha256 string"
 ROWS_AT_ONCE = 50_000
@@ -28,6 +28,7 @@ ROWS_AT_ONCE = 50_000
 SPLITTER_CHARS = 64
 
 
+@lean
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows in (text, id) order, the first of a run being the one that stays: each row with its run's size."""
     done: list[tuple] = []

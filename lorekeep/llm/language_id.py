@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, read_table
+from .common import kept, lean, read_table
 
 BUCKETS = 1 << 15
 MOST_LANGUAGES = 512
@@ -61,6 +61,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found, counts[found]
 
 
+@lean
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -120,6 +121,7 @@ def infer(at: np.ndarray, n: np.ndarray, logs: np.ndarray) -> tuple[int, float]:
 
 
 def _predict(langs: list[str], logs: np.ndarray, names: list[str]) -> Callable:
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []

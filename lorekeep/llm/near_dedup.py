@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, kept, read_table
+from .common import connected_components, dropped, kept, lean, read_table
 from .shingles import common, mixed, shingle_sets
 
 BANDS, ROWS = 48, 6
@@ -88,6 +88,7 @@ def floor_of(threshold: float) -> float:
 
 
 def _signatures(k: int) -> Callable:
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2_000):
@@ -111,6 +112,7 @@ def _signatures(k: int) -> Callable:
 
 
 def _passing(floor: float) -> Callable:
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -190,6 +192,7 @@ def _joins(floor: float) -> Callable:
 
 
 def _confirm(k: int, percent: int) -> Callable:
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = []

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, read_table
+from .common import kept, lean, read_table
 from .tokens import table
 
 CAPACITY = 2048
@@ -132,6 +132,7 @@ class Island:
 
 
 def _epoch(capacity: int, seed: int, number: int) -> Callable:
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             elites = []
@@ -144,6 +145,7 @@ def _epoch(capacity: int, seed: int, number: int) -> Callable:
 
 
 def _best(capacity: int) -> Callable:
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, items, lengths, elites in batch[["shard", "items", "lengths", "elites"]].itertuples(index=False, name=None):
@@ -203,24 +205,33 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = SEED) -> DataF
     return out
 
 
+_PIECES = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
+
+
 def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
+
+    kinds = [{"int": pa.int32(), "long": pa.int64()}[k] for k in _PIECES.values()]
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table(tokenizer)
         for batch in batches:
-            out = []
-            for i, ids in zip(batch["doc_id"].tolist(), words.encode_all(batch["text"].tolist()), strict=True):
+            out: list[tuple] = []
+            texts = (t.as_py() for t in batch.column("text"))  # one after the other, not all at once
+            for i, ids in zip(batch.column("doc_id"), words.encode_all(texts), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     cut = ids[a : a + capacity]
-                    out.append((None if pd.isna(i) else int(i), k, a, len(cut), zlib.crc32(cut.tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    out.append((i.as_py(), k, a, len(cut), zlib.crc32(cut.tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)], list(_PIECES))
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and row, a number of its own for each piece. Null text: only the end id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, end_id, capacity), ", ".join(f"{c} {k}" for c, k in _PIECES.items()))
     return kept(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 

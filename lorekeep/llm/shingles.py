@@ -6,6 +6,9 @@ words; a text with fewer words has one, its whole sequence; a text without words
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -15,7 +18,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _VALUE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -33,16 +36,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _cut(texts: list[bytes], k: int) -> list[np.ndarray]:
-    raw = _LOWER[np.frombuffer(b"\n".join(texts), dtype=np.uint8)]
-    begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and their hashes."""
+    raw = _LOWER[np.frombuffer(text, dtype=np.uint8)]
     space = np.concatenate([[True], _SPACE[raw], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, stops = edge[::2], edge[1::2]
     powers, backs = _powers(len(raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * powers[: len(raw)])])
-    words = mixed((sums[stops] - sums[starts]) * backs[starts] + (stops - starts).astype(np.uint64))
-    of = np.searchsorted(starts, begins)
+    return starts, mixed((sums[stops] - sums[starts]) * backs[starts] + (stops - starts).astype(np.uint64))
+
+
+_BETWEEN = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _stretches(text: bytes) -> Iterator[bytes]:
+    """A text cut at spaces into stretches of about BYTES_AT_ONCE, so that long texts take no more memory at once."""
+    at = 0
+    while at < len(text):
+        space = _BETWEEN.search(text, at + BYTES_AT_ONCE)
+        stop = space.start() if space else len(text)
+        yield text[at:stop]
+        at = stop
+
+
+def _cut(texts: list[bytes], k: int) -> list[np.ndarray]:
+    if len(texts) == 1 and len(texts[0]) > BYTES_AT_ONCE:
+        words = np.concatenate([_words(x)[1] for x in _stretches(texts[0])])
+        of = np.array([0, len(words)])
+    else:
+        starts, words = _words(b"\n".join(texts))
+        of = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in texts)]))
     joint = np.zeros(max(len(words) - k + 1, 0), dtype=np.uint64)
     for i in range(k):
         joint = mixed(joint + words[i : i + len(joint)] + np.uint64(i + 1))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, kept, new_path, read_table, shuffle_partitions
+from .common import file_system, kept, lean, new_path, read_table, shuffle_partitions
 from .tokens import table
 
 _INDEX = "doc_id long, part int, file string, place long, n_tokens long"
@@ -33,6 +33,7 @@ _READ = "doc_id long, part int, place long, n_tokens long, ids_crc32 long"
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int) -> Callable:
+    @lean
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -122,6 +123,7 @@ class TokenFile:
 
 
 def _reader(folder: str) -> Callable:
+    @lean
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, own in batch.groupby("file", sort=False):

@@ -3,8 +3,10 @@
 The tokenizers library spends most of its time on merging the same words again and again. Its pre-tokenizer cuts a text
 into words that are encoded independently, so a worker keeps the ids of the words it has met and joins them; words it
 has not met go to the library. Texts for which the cut is not trivially the library's own (characters from U+0250 on,
-strings of special tokens, contractions) go to the library whole. Either way the ids are those of
-``Tokenizer.encode(text, add_special_tokens=False)``. Words are told apart by 64-bit hashes.
+strings of special tokens, contractions) go to the library whole, and so do all texts if the file normalises or cuts texts
+in another way than is known here. Either way the ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+Words are looked up by 64-bit hashes and then compared letter by letter; a text with a word that only shares a hash
+goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,22 +14,24 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words kept by a worker (about 40 bytes each); when full, the table starts anew, so memory is bounded.
-WORDS_KEPT = 2_000_000
+#: Words kept by a worker (about 80 bytes each); when full, the table starts anew, so memory is bounded.
+WORDS_KEPT = 600_000
 #: Longer words are encoded, but not kept.
 WORD_KEPT = 40
-#: Characters handled at once; a single longer text is handled alone.
-CHARS_AT_ONCE = 2_000_000
+#: Characters handled at once. Longer texts are cut where white space is, which no word and no special token crosses.
+CHARS_AT_ONCE = 400_000
 
-# Fixed values of the tokenizer file: its split pattern, and what it makes of characters below U+0250.
+# Fixed values of the tokenizer file: how it normalises and cuts texts, and what it makes of characters below U+0250.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼½¾"
 _WORD_ENDS = "</w>"
+_BETWEEN = re.compile("[ \\n\\t\\r]")
 
 _TOP = 0x250
 _CHARS = [chr(i) for i in range(_TOP)]
@@ -48,7 +52,10 @@ class WordTable:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.cut = json.load(f)["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex") == _SPLIT
+            said = json.load(f)
+        cuts = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.cut = cuts[0].get("pattern", {}).get("Regex") == _SPLIT and len(cuts) == 2 and cuts[1].get("use_regex") is False
+        self.cut &= (said["normalizer"] or {}).get("normalizers") == _NORMALIZERS
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith(_WORD_ENDS) for i in range(size)])
         self.powers = self.backs = np.ones(1, dtype=np.uint64)
@@ -56,8 +63,9 @@ class WordTable:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.rows = np.zeros((0, 2), dtype=np.int64)  # of each key: where its ids start in flat, and how many
+        self.rows = np.zeros((0, 4), dtype=np.int64)  # of each key: where its ids start in flat, how many; the same of its letters
         self.flat = np.zeros(0, dtype="<u4")
+        self.letters = np.zeros(0, dtype=np.uint16)
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -75,10 +83,23 @@ class WordTable:
         """keys: sorted, none of them known yet."""
         ids, counts = self.encode(words)
         starts = len(self.flat) + np.cumsum(counts) - counts
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.rows = np.insert(self.rows, at, np.stack([starts, counts], 1), axis=0)
+        self.rows = np.insert(self.rows, at, np.stack([starts, counts, len(self.letters) + np.cumsum(sizes) - sizes, sizes], 1), axis=0)
         self.flat = np.concatenate([self.flat, ids])
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)])
+
+    def unlike(self, low: np.ndarray, starts: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which words, stretches of low, aren't letter by letter those of their rows."""
+        other = sizes != rows[:, 3]
+        sizes = np.where(other, 0, sizes)
+        before = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum())
+        differ = low[np.repeat(starts - before, sizes) + place] != self.letters[np.repeat(rows[:, 2] - before, sizes) + place]
+        if differ.any():
+            other[np.repeat(np.arange(len(sizes)), sizes)[differ]] = True
+        return np.flatnonzero(other)
 
     def grow(self, n: int) -> None:
         if len(self.powers) < n:
@@ -126,13 +147,14 @@ class WordTable:
         if new.any():
             text = low.tobytes().decode("utf-16-le", "surrogatepass")
             self.learn(unique[new], [text[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
-        rows = self.rows[np.searchsorted(self.keys, unique)[place]] if len(unique) else np.zeros((0, 2), np.int64)
+        rows = self.rows[np.searchsorted(self.keys, unique)[place]] if len(unique) else np.zeros((0, 4), np.int64)
+        own[np.searchsorted(of, self.unlike(low, starts, rows, stops - starts), side="right") - 1] = True
         ends = np.cumsum(rows[:, 1])
         ids = self.flat[np.repeat(rows[:, 0] - (ends - rows[:, 1]), rows[:, 1]) + np.arange(ends[-1] if len(ends) else 0)]
         edges = np.concatenate([[0], ends])[of].tolist()
         return [self.whole(x) if own[i] else ids[edges[i] : edges[i + 1]] for i, x in enumerate(texts)]
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids (little-endian, 32 bits) of each whole text in turn; none for a null or empty text."""
         if not self.cut:
             yield from (self.whole(x or "") for x in texts)
@@ -143,12 +165,24 @@ class WordTable:
             if held and chars + len(x or "") > CHARS_AT_ONCE:
                 yield from self.cut_up(held)
                 held, chars = [], 0
+            if len(x or "") > CHARS_AT_ONCE:
+                yield np.concatenate([ids for part in _stretches(x) for ids in self.cut_up([part])])
+                continue
             held.append(x or "")
             chars += len(x or "") + 1
         if held:
             yield from self.cut_up(held)
 
 
+def _stretches(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        space = _BETWEEN.search(text, at + CHARS_AT_ONCE)
+        stop = space.start() if space else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 _TABLES: dict[str, WordTable] = {}
 
 

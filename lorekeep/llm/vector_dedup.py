@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, kept, read_table
+from .common import connected_components, dropped, kept, lean, read_table
 
 SHARD = 1_000
 #: Shards above this are dealt into chunks of half of it, and each two chunks make a shard.
@@ -56,6 +56,7 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 9) -> np.
 
 
 def _assign(centers: np.ndarray, overlap: int) -> Callable:
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -165,6 +166,7 @@ def _find(threshold: float) -> Callable:
 def _audit(nodes: list[int], vectors: np.ndarray, threshold: float) -> Callable:
     names = np.array(nodes, dtype=np.int64)
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, kept, new_path, read_table
+from .common import file_system, kept, lean, new_path, read_table
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -202,6 +202,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     marked = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(shared, ["sha", "n", "salt"], "left")
     refers = F.when(F.col("first_id") != F.coalesce("page_id", F.lit(-1) - F.col("first_id")), F.col("first_id"))
 
+    @lean
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, done = ArchiveWriter(folder), []
         for batch in batches:
@@ -219,6 +220,7 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """Each record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
+    @lean
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, stated in zip(batch["archive"], batch["n_records"], strict=True):
