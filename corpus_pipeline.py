@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import kept, numbered, read_table
+from lorekeep.llm.common import kept, lean, numbered, read_table
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.language_id import UNKNOWN, grams, identify, train
 from lorekeep.llm.mixing import WORD, mix
@@ -25,6 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.5
 
 
+@lean
 def _with_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch[[len(grams(text)[0]) > 0 for text in batch["text"]]]
@@ -54,6 +55,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
+@lean
 def _first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         cut = []
