@@ -15,9 +15,9 @@ blocks of BLOCK members a side that are tasks of their own, and pass over pairs
 the estimate comes first there too, then the full sets. So a link can be missed only if its documents share no bucket
 (at a similarity of 0.8 with a chance of (1 - 0.8^ROWS)^BANDS = 5e-7) or by an estimate six standard deviations off.
 
-Null and empty texts have empty sets and link with nothing. Rows that repeat a doc_id are one document, for which the
-greatest of their texts stands; each gets its answer. Rows with a null doc_id link with nothing, have a null component_id
-and are kept. An empty table gives no rows.
+Null and empty texts have empty sets and link with nothing. Rows that repeat a doc_id are documents of their own, each with
+the set of its own text; component_id is the smallest doc_id of the documents reachable, and a row is kept if its doc_id
+is that. Rows with a null doc_id link with nothing, have a null component_id and are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ PERMUTATIONS = BANDS * ROWS
 BITS = 4
 #: Members of a side of a block.
 BLOCK = 500
+#: Tasks that the blocks of families are dealt to at most.
+MOST_TASKS = 20_000
 #: Rows of small buckets that one task compares at a time.
 ROWS_AT_ONCE = 10_000
 _rng = np.random.default_rng(88)
@@ -239,11 +241,14 @@ def _dealt(own: DataFrame) -> DataFrame:
     return rows.select("group", "at.block", "at.side", "node", "label")
 
 
-def _between(families: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of the blocks that compare different components of a family: block, side, node, label, sign, text."""
+def _between(families: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of the blocks that compare different components of a family: block, side, node, label, sign, text. With a number of
+    tasks for them: their work is in the pairs, not in the bytes by which adaptive execution would put them together."""
     own = families.select("node", F.col("label").alias("group")).join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label"))
-    rows = _dealt(own).drop("group")
-    return rows.join(classes.select("node", "sign"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node").select("block", "side", "node", "label", "sign", "text")
+    rows = kept(_dealt(own).drop("group"), "blocks")
+    tasks = max(1, min(MOST_TASKS, rows.count() // BLOCK, rows.select("block").distinct().count()))
+    rows = rows.join(classes.select("node", "sign"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    return rows.select("block", "side", "node", "label", "sign", "text"), tasks
 
 
 def _across(members: DataFrame, families: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -269,9 +274,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         raise ValueError("the bands lose links below 80 %")
     floor = floor_of(percent / 100)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        found = near_duplicates(rows.groupBy("doc_id").agg(F.max("text").alias("text")), words, percent)
-        return rows.select(F.col("doc_id").alias("own")).join(found, F.col("own").eqNullSafe(F.col("doc_id"))).drop("own")
+    if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _with_repeated_ids(rows, words, percent)
     signed = kept(rows.mapInPandas(_signatures(words), "doc_id long, n_shingles long, set_id binary, bands array<long>, sign binary"), "signatures")
     sets = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     of_set = sets.groupBy("set_id").agg(F.min("doc_id").alias("node"))
@@ -279,8 +283,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = sets.select("set_id", F.col("doc_id").alias("node"), "bands", "sign")
     classes = kept(named.join(of_set, ["set_id", "node"]).dropDuplicates(["set_id"]), "classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    # Written first, so that the join shuffles both its sides and a large bucket's members are split among tasks.
+    buckets = kept(banded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = kept(banded.join(buckets, "key"), "members")
+    dropped(buckets)
     # Only texts that share a bucket are shuffled on.
     texts = kept(rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -290,16 +296,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     across = _across(members, families, classes, floor)
     if across.limit(1).count():
         families = connected_components(near.unionByName(across))
-    more = kept(_between(families, labels, classes, texts).groupBy("block").applyInPandas(_blocks(words, percent, floor), "a long, b long"), "more-links")
+    blocks, tasks = _between(families, labels, classes, texts)
+    more = kept(blocks.repartition(tasks, "block").groupBy("block").applyInPandas(_blocks(words, percent, floor), "a long, b long"), "more-links")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
     for x in (members, near, texts):
         dropped(x)
-    ids = of_set.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component"))
+    # Written too: copies of one text, a third of all rows perhaps, are then split among tasks at the join.
+    ids = kept(of_set.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component")), "component-of-set")
     found = signed.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _with_repeated_ids(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Each row under a number of its own; then the smallest doc_id of each component."""
+    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    some = rows.where("doc_id IS NOT NULL").select(F.col("row").alias("doc_id"), "text")
+    found = kept(near_duplicates(some, words, percent).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("of")), "of-rows")
+    named = rows.select("row", "doc_id").join(found, "row")
+    least = kept(named.groupBy("of").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    named = named.join(least, "of").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    null = near_duplicates(rows.where("doc_id IS NULL").select("doc_id", "text"), words, percent)
+    return named.unionByName(null)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)

@@ -15,7 +15,7 @@ from lorekeep.llm import near_dedup, queries
 from lorekeep.llm.common import connected_components
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.near_dedup import near_duplicates
-from lorekeep.llm.packing import best_fit, pack, pack_documents
+from lorekeep.llm.packing import best_fit, fit_by_pairs, pack, pack_documents
 from lorekeep.llm.substring_dedup import remove_repeats
 from lorekeep.llm.token_files import TokenFile, read_token_files, write_token_files
 
@@ -148,9 +148,48 @@ def test_near(spark):
 def test_near_repeated_and_empty(spark):
     found = near_duplicates(fixtures.twice(spark)).collect()
     assert len(found) == 6 and {r.component_id for r in found if r.doc_id is None} == {None} and all(r.kept for r in found if r.doc_id is None)
+    # Each row of a repeated doc_id has its own text's set.
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None) == sorted((i, len(brute_set(t, 5)), i) for i, t, *_ in fixtures.twice(spark).collect() if i is not None)
+    base = fixtures.text(60, 100)
+    docs = [(7, base), (7, "other words"), (3, base + " more"), (9, "other words")]
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False)]
     assert near_duplicates(fixtures.empty(spark)).count() == 0
 
 
+def brute_set(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[a : a + k]) for a in range(max(len(words) - k + 1, 1))} if words else set()
+
+
+def test_near_in_a_crowd(spark):
+    """Pairs just above the limit among many loosely alike documents: buckets are full of third ones, and no link is lost."""
+    rng = random.Random(77)
+    common = [f"c{i}" for i in range(118)]
+    docs = [(i, " ".join(rng.sample(common, 70) + [f"o{i}-{j}" for j in range(15)])) for i in range(1500)]
+    for n in range(40):
+        words = docs[n * 30][1].split()
+        for j in range(9):
+            words[70 + j] = f"p{n}-{j}"
+        docs.append((10_000 + n, " ".join(words)))
+    expected = brute_near_pairs(docs, [(30 * n, 10_000 + n) for n in range(40)], 1, 80)
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=1).collect()}
+    assert len(expected) == 40 and all(found[a] == found[b] for a, b in expected)
+
+
+def brute_near_pairs(docs, pairs, k, percent):
+    sets = {i: brute_set(t, k) for i, t in docs}
+    return [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+
+
+def test_near_long_text(spark):
+    """Over a megabyte, handled in stretches."""
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    docs = [(1, long), (2, long + " end"), (3, long[: len(long) // 2])]
+    assert sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=2).collect()) == brute_near(docs, 2, 80)
+
+
 def test_components(spark):
     n = 300
     links = [(i, i + 1) for i in range(1, n)] + [(1000, i) for i in range(1001, 1400)] + [(7, 7), (1, 2)]
@@ -265,15 +304,25 @@ def test_packing(spark):
 
 
 def test_pack_hard_sizes(spark):
-    """Sizes of which each bin takes three: at least as good as best fit alone, and every piece once."""
+    """Sizes of which each bin takes exactly three: nearly as few bins as there can be, and every piece once."""
     lengths = [n for b in range(60) for n in (500 + b, 620 - b // 2, 928 - b + b // 2)]
     found = pack(spark.createDataFrame(list(enumerate(lengths)), "row long, length long")).collect()
     alone, _ = best_fit(sorted(lengths, reverse=True), [], 2048)
-    assert len(found) == 180 and len({r.sequence_id for r in found}) <= max(alone) + 1
+    assert len(found) == 180 and len({r.sequence_id for r in found}) <= 62 < max(alone) + 1
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([(1, 4000)], "row long, length long"))
 
 
+def test_fit_by_pairs():
+    rng = random.Random(3)
+    for _ in range(20):
+        lengths = [rng.randrange(0, 101) for _ in range(rng.randrange(1, 200))]
+        fills = Counter()
+        for n, b in zip(lengths, fit_by_pairs(lengths, 100), strict=True):
+            fills[b] += n
+        assert max(fills.values()) <= 100 and sum(fills.values()) == sum(lengths)
+
+
 def test_repeats_across_stretches(spark):
     """A text of several stretches that repeats nothing but one passage, which lies where two of them meet."""
     rng = random.Random(12)
