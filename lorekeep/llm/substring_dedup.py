@@ -249,7 +249,7 @@ def _round(joined: DataFrame, length: int, parts: int) -> tuple[DataFrame, DataF
     spans = kept(settled.select("row", (place - F.col("high")).alias("start"), (place - F.col("low") + length).alias("stop")), "spans")
     dropped(parted)
     # Cores with one hull are unique, or settled wholly.
-    open_cores = hulls.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core")
+    open_cores = kept(hulls.groupBy("core").agg(F.count("*").alias("hulls")).where("hulls > 1").select("core"), "open-cores")
     rest = hulls.join(open_cores, "core", "left_semi").select("one.*", "core", F.least("n", F.lit(2)).cast("int").alias("n"))
     return spans, rest, hulls
 
@@ -260,9 +260,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
         raise ValueError(f"length may exceed seed by less than {1 << _DISTANCE_BITS}")
     texts = docs.where(F.octet_length("text") >= length).select("row", "text")
     found = kept(texts.mapInPandas(_find_anchors(length, seed), "row long, at long, rank long"), "anchors")
-    again = found.groupBy("rank").count().where("count > 1").select("rank")
+    # Written first, so that the join shuffles both its sides and a rank with very many places is split among tasks.
+    again = kept(found.groupBy("rank").count().where("count > 1").select("rank"), "again")
     alive = kept(found.join(again, "rank", "left_semi").groupBy("row").agg(F.collect_list("at").alias("at")), "alive")  # of one document
     dropped(found)
+    dropped(again)
     affected = kept(texts.join(alive, "row").select("row", "text", "at"), "affected")
     dropped(alive)
     same = lambda value, kind: F.transform("at", lambda x: F.lit(value).cast(kind))
@@ -274,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
     strings = affected.join(_by_row(rest), "row").mapInPandas(_strings(length), "row long, start long, core long, rank long, n int")
     strings = kept(strings, "strings")
     dropped(read_again)
-    twice = strings.groupBy("core", "rank").agg(F.sum("n").alias("n")).where("n > 1").select("core", "rank")
+    twice = kept(strings.groupBy("core", "rank").agg(F.sum("n").alias("n")).where("n > 1").select("core", "rank"), "twice")
     single = strings.join(twice, ["core", "rank"], "left_semi").select("row", "start", (F.col("start") + length).alias("stop"))
     return settled.unionByName(smaller).unionByName(single), affected
 
