@@ -2,11 +2,13 @@
 
 Pieces shorter than a sequence are dealt by hash to shards of a bounded number of pieces. Each shard is the problem of a
 few islands, which are rows of their own and run as tasks of their own. An island's genome is the grouping itself: which
-piece is in which bin. Crossover injects whole well-filled bins of one parent into the other, takes out bins that now hold
-duplicates, and puts the displaced pieces back by best fit, longest first; mutation empties some badly filled bins
-and puts their pieces back in the same way. After each epoch an island's elite migrates to the next island of its shard.
-The best grouping of a shard wins. Bins that remain badly filled, a few a shard, are opened and their pieces packed once
-more together, by the same steps.
+piece is in which bin. Crossover injects whole bins of one parent, from among its fullest, into the other, takes out bins that
+now hold duplicates, and puts the displaced pieces back by best fit, longest first; mutation empties some badly filled
+bins and puts their pieces back in the same way, or bin by bin with the piece or pair of pieces that fits best. An island ends an
+epoch when it has as few bins as the sum of lengths allows, or when STAGNATION generations have bettered nothing. After
+each epoch an island's elite migrates to the next island of its shard. The best grouping of a shard wins. Bins that remain
+badly filled, a few a shard, are opened and their pieces packed once more together, by the same steps, as long as that leaves
+much fewer.
 
 A piece has a length of 1 to capacity; a length of 0 takes no room and is put anywhere; longer ones are an error (the
 caller cuts them). Pieces alike in everything are told apart by row. An empty table gives no rows.
@@ -29,11 +31,14 @@ CAPACITY = 2048
 #: Pieces of a shard, and islands that work on it.
 SHARD_PIECES = 4_096
 ISLANDS = 3
-POPULATION = 4
-GENERATIONS = 4
+POPULATION = 8
+#: Generations of an epoch at most, and without a better grouping.
+GENERATIONS, STAGNATION = 40, 6
 EPOCHS = 2
 #: A bin at least this full is well filled: it is passed on whole; at the end others are opened and packed once more.
 WELL_FILLED = 0.995
+#: How often what is badly filled is packed again; by then 8^MOST_LEVELS shards and more have become one.
+MOST_LEVELS = 6
 SEED = 3
 
 
@@ -65,6 +70,46 @@ def best_fit(lengths: list[int], room: list[int], capacity: int) -> tuple[list[i
     return out, room
 
 
+def fit_by_pairs(lengths: list[int], capacity: int) -> list[int]:
+    """The bin of each length: each new bin gets the longest that is left, then the one or two that leave the least room."""
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, n in enumerate(lengths):
+        waiting[n].append(i)
+    count = np.array([len(x) for x in waiting])
+    sizes = np.arange(capacity + 1)
+    out, b, left = [0] * len(lengths), 0, len(lengths)
+
+    def take(n: int) -> None:
+        nonlocal left
+        out[waiting[n].pop()] = b
+        count[n] -= 1
+        left -= 1
+
+    while left:
+        take(room_taken := int(np.flatnonzero(count)[-1]))
+        room = capacity - room_taken
+        while left:
+            largest = np.maximum.accumulate(np.where(count[: room + 1] > 0, sizes[: room + 1], -1))  # that is waiting and no longer than so much
+            one = int(largest[room])
+            if one < 0:
+                break
+            first = np.flatnonzero(count[: room + 1])
+            second = largest[room - first]
+            again = (second == first) & (count[first] == 1)  # only one of that length is left
+            second[again] = np.where(first[again] > 0, largest[np.minimum(first[again] - 1, room - first[again])], -1)
+            both = np.where(second >= 0, first + second, -1)
+            best = int(np.argmax(both))
+            if both[best] > one:
+                take(int(first[best]))
+                take(int(second[best]))
+                room -= int(both[best])
+            else:
+                take(one)
+                room -= one
+        b += 1
+    return out
+
+
 class Island:
     """Groupings of one shard's pieces. A grouping is an array: the bin of each piece, bins numbered from 0."""
 
@@ -98,12 +143,18 @@ class Island:
         out[loose], _ = best_fit(self.lengths[loose].tolist(), room.tolist(), self.capacity)
         return out
 
+    def paired(self, group: np.ndarray, loose: np.ndarray) -> np.ndarray:
+        """loose as in put_back, but put into new bins, by pairs."""
+        out = group.copy()
+        out[loose] = group.max() + 1 + np.array(fit_by_pairs(self.lengths[loose].tolist(), self.capacity), dtype=np.int64)
+        return np.unique(out, return_inverse=True)[1]
+
     def cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Half of b's well-filled bins go into a whole; a's bins that share a piece with them are taken out."""
-        good = np.flatnonzero(self.fills(b) >= WELL_FILLED * self.capacity)
-        if not len(good):
-            return self.mutate(a)
-        given = np.isin(b, self.rng.choice(good, max(1, len(good) // 2), replace=False))
+        """Some of the fuller half of b's bins go into a whole; a's bins that share a piece with them are taken out."""
+        fill = self.fills(b)
+        bins = np.flatnonzero(np.bincount(b))
+        fullest = bins[np.argsort(-fill[bins], kind="stable")][: -(-len(bins) // 2)]
+        given = np.isin(b, self.rng.choice(fullest, -(-len(fullest) // 2), replace=False))
         out_of_a = np.isin(a, np.unique(a[given])) & ~given
         child = np.where(given, b + a.max() + 1, a)
         return self.put_back(child, np.flatnonzero(out_of_a))
@@ -114,21 +165,28 @@ class Island:
         bins = np.flatnonzero(fill)
         worst = bins[np.argsort(fill[bins], kind="stable")[: max(2, len(bins) // 20)]]
         some = self.rng.choice(bins, max(1, len(bins) // 20), replace=False)
-        return self.put_back(group, np.flatnonzero(np.isin(group, np.concatenate([worst, some]))))
+        loose = np.flatnonzero(np.isin(group, np.concatenate([worst, some])))
+        return self.put_back(group, loose) if self.rng.random() < 0.5 else self.paired(group, loose)
 
     def evolve(self, start: list[np.ndarray]) -> np.ndarray:
-        people = [*start, self.fresh(0.0)] if not start else list(start)
-        while len(people) < POPULATION:
-            people.append(self.fresh(0.02))
         bound = -(-int(self.lengths.sum()) // self.capacity)
+        whole = np.arange(len(self.lengths))
+        first: list[Callable] = [lambda: self.fresh(0.0), lambda: self.paired(np.zeros(len(whole), dtype=np.int64), whole)]
+        people = [(self.value(x), x) for x in start]
+        while len(people) < POPULATION and not any(-v[0] <= bound for v, _ in people):  # else no grouping has fewer bins
+            new = first.pop(0)() if first and not start else self.fresh(0.02)
+            people.append((self.value(new), new))
+        people.sort(key=lambda p: p[0], reverse=True)
+        idle = 0
         for _ in range(GENERATIONS):
-            people.sort(key=self.value, reverse=True)
-            if -self.value(people[0])[0] <= bound:  # no grouping has fewer bins
+            if -people[0][0][0] <= bound or idle >= STAGNATION:
                 break
+            before = people[0][0]
             i, j = self.rng.choice(len(people), 2, replace=False)
-            children = [self.cross(people[i], people[j]), self.cross(people[j], people[i]), self.mutate(people[0])]
-            people = sorted([*people, *children], key=self.value, reverse=True)[:POPULATION]
-        return max(people, key=self.value)
+            children = [self.cross(people[i][1], people[j][1]), self.cross(people[j][1], people[i][1]), self.mutate(people[0][1])]
+            people = sorted([*people, *((self.value(c), c) for c in children)], key=lambda p: p[0], reverse=True)[:POPULATION]
+            idle = 0 if people[0][0] > before else idle + 1
+        return people[0][1]
 
 
 def _epoch(capacity: int, seed: int, number: int) -> Callable:
@@ -189,16 +247,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = SEED) -> DataF
         raise ValueError("a piece is longer than a sequence")
     number = lambda level: F.lit(level << 60) + F.shiftleft(F.col("shard").cast("long"), 24) + F.col("bin")
     parts = [pieces.where(F.col("length") == capacity).select("row", (F.lit(-1) - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    left, level = pieces.where(F.col("length") < capacity), 0
+    left, level, before = pieces.where(F.col("length") < capacity), 0, None
     while True:
         count = left.count()
         packed = kept(_round(left, count, capacity, seed + level), "packed")
-        last = count <= SHARD_PIECES or level == 2
+        last = count <= SHARD_PIECES or level == MOST_LEVELS or (before is not None and count > before / 2)
         done = packed if last else packed.where(F.col("fill") >= WELL_FILLED * capacity)
         parts.append(done.select("row", number(level).alias("sequence_id"), "offset"))
         if last:
             break
-        left, level = packed.where(F.col("fill") < WELL_FILLED * capacity).select("row", "length"), level + 1
+        left, level, before = packed.where(F.col("fill") < WELL_FILLED * capacity).select("row", "length"), level + 1, count
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
