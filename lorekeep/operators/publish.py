@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = 50
@@ -93,3 +93,28 @@ def allowed_kind(kind: Column, private: bool) -> Column:
 def review_due(review_after: Column, as_of: Column) -> Column:
     """Whether the day asked for has come; days that do not exist are no days."""
     return F.coalesce(F.to_date(F.try_to_timestamp(review_after, F.lit("yyyy-MM-dd"))) <= F.to_date(as_of), F.lit(False))
+
+
+def all_pages(pages: DataFrame, key: str, most: int = 2_000) -> DataFrame:
+    """What a reader has after paging: the first row of each key, at most so many. pages: rows with page and place in it."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy("page", "place"))
+    return pages.withColumn("seen", first).where("seen = 1").drop("seen").orderBy("page", "place").limit(most)
+
+
+DECLARED = "profile string, effort boolean, task_search boolean, keep_personal boolean, worklog_scopes array<string>, people_detail string, holdout_percent int"
+
+
+def declared(text: Column) -> Column:
+    """What a colony declares about itself, field by field of its type or its default; null without a known profile."""
+    raw = F.from_json(text, "map<string,string>")
+    value = lambda name: F.try_element_at(raw, F.lit(name))
+    true = lambda name: F.coalesce(value(name) == "true", F.lit(False)) & F.coalesce(F.get_json_object(text, f"$.{name}") == "true", F.lit(False)) & ~text.rlike(f'"{name}"\\s*:\\s*"')
+    scopes = F.filter(F.try_variant_get(F.try_parse_json(text), "$.worklog_scopes", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    percent = F.when(~text.rlike(r'"holdout_percent"\s*:\s*"') & value("holdout_percent").rlike(r"^[0-9]{1,2}(?:\.0+)?\z"), value("holdout_percent").try_cast("double").cast("int"))
+    detail = value("people_detail")
+    found = F.struct(
+        value("profile").alias("profile"), true("effort").alias("effort"), true("task_search").alias("task_search"), true("keep_personal").alias("keep_personal"),
+        F.coalesce(F.slice(F.transform(scopes, lambda v: v.cast("string")), 1, 50), F.array().cast("array<string>")).alias("worklog_scopes"),
+        F.when(detail.isin("named", "aggregate"), detail).alias("people_detail"), F.when(percent <= 20, percent).otherwise(0).alias("holdout_percent"),
+    )
+    return F.when(value("profile").isin("public", "organisation"), found)

@@ -179,3 +179,58 @@ def expand_successors(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """Keys of old entries find their successors too, one hop: hits (query_id, entry_id) and those of what amends them."""
     more = hits.join(edges.select(F.col("amends").alias("entry_id"), F.col("entry_id").alias("newer")), "entry_id").select("query_id", F.col("newer").alias("entry_id"))
     return hits.select("query_id", "entry_id").unionByName(more).distinct()
+
+
+# --- What a search may ask for, and what is withheld ------------------------------------------------------------------
+
+MOST_ASKED = 10
+NEARLY_SAME = 0.95
+#: Words that many error lines have (our own list); others of four letters and more are distinctive.
+COMMON_WORDS = "error errors failed failure cannot could found with from this that file line exception warning while does name value invalid unable missing module named type null none".split()
+
+
+def asked(hits: DataFrame, min_strength: float = 0.0, limit: int = PER_ANSWER) -> DataFrame:
+    """Each query's hits of some strength, the first of them by rank: limit is 1 to 10."""
+    if not 0 <= min_strength <= 1 or not 1 <= limit <= MOST_ASKED:
+        raise ValueError("min_strength is 0 to 1, limit is 1 to 10")
+    order = Window.partitionBy("query_id").orderBy("rank", "entry_id")
+    return hits.where(F.coalesce("strength", F.lit(0.0)) >= min_strength).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def task_hits(queries: DataFrame, entries: DataFrame, most: int = PER_ANSWER) -> DataFrame:
+    """Hits of tasks in words: their own threshold, and none of the filters for error lines."""
+    return semantic_hits(queries, entries, TASK_SCORE, most).withColumn("via", F.lit("task"))
+
+
+def distinctive_words(text: Column) -> Column:
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_.]+"), lambda w: F.length(w) >= 4)
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, COMMON_WORDS)))
+
+
+def about_the_same(query: Column, entry: Column, score: Column) -> Column:
+    """For a hit by vectors: they share a distinctive word, unless nearly identical; and where the query looks like an error line and
+    most words are shared, not each has a name that the other lacks."""
+    a, b = distinctive_words(query), distinctive_words(entry)
+    shared = F.size(F.array_intersect(a, b))
+    named = lambda own, other: F.size(F.array_except(own, other)) > 0
+    sibling = query.rlike("[:'\"`]") & (shared * 2 >= F.size(F.array_union(a, b)) - shared) & (shared > 0) & named(a, b) & named(b, a)
+    return ((shared > 0) | (score >= NEARLY_SAME)) & ~sibling
+
+
+def unseen(hits: DataFrame, shown: DataFrame, by: str = "query_id") -> DataFrame:
+    """Without entries that were shown before to the same asker: shown has the column by and entry_id."""
+    return hits.join(shown.select(by, "entry_id").distinct(), [by, "entry_id"], "left_anti")
+
+
+def served(entries: DataFrame, amendments: DataFrame) -> DataFrame:
+    """Entries without a high-risk command in prose (flag at index -1), and not replaced by their own author.
+
+    entries: entry_id, author, flags; amendments: entry_id, amends, author."""
+    risky = F.exists(F.coalesce("flags", F.array()), lambda f: (f["command_index"] == -1) & ~F.coalesce(f["level"].isin("low", "medium"), F.lit(False)))
+    replaced = amendments.select(F.col("amends").alias("entry_id"), "author").distinct()
+    return entries.where(~risky).join(replaced, ["entry_id", "author"], "left_anti")
+
+
+def public_hit(optional: dict[str, Column], **always: Column) -> Column:
+    """A hit as JSON: fields that are always there, and optional ones only where they are not null."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in always.items()), *(c.alias(n) for n, c in optional.items())), {"ignoreNullFields": "true"})

@@ -105,3 +105,21 @@ def fail_then_fix(events: DataFrame, minutes: int = 45) -> DataFrame:
     nxt = F.last(F.when(F.col("ok"), F.struct("at", "event_id")), ignorenulls=True).over(backwards)
     rows = events.withColumn("fix", nxt).where(~F.col("ok") & (F.col("fix.at") <= F.col("at") + F.make_dt_interval(mins=F.lit(minutes))))
     return rows.select("session", "key", "event_id", "at", F.col("fix.event_id").alias("fix_id"), F.col("fix.at").alias("fix_at"))
+
+
+def medians(runs: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Per condition: runs, solved ones, and the exact median of each value over the solved."""
+    solved = lambda v: F.percentile(F.when(F.col("solved"), F.col(v)), F.lit(0.5)).alias(f"median_{v}")
+    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.count_if("solved").alias("solved"), *map(solved, values))
+
+
+def savings(records: DataFrame, least: int = 1) -> DataFrame:
+    """Per key: mean effort of helped and of held-out lookups, and what help saves, where both have enough records.
+
+    records: fingerprint, held_out, tokens."""
+    held, helped = F.col("held_out"), ~F.col("held_out")
+    found = records.groupBy("fingerprint").agg(
+        F.count_if(helped).alias("helped"), F.count_if(held).alias("held"), F.avg(F.when(helped, F.col("tokens"))).alias("helped_tokens"), F.avg(F.when(held, F.col("tokens"))).alias("held_tokens")
+    )
+    both = (F.col("helped") >= least) & (F.col("held") >= least)
+    return found.withColumns({"method": F.when(both, "holdout"), "saved": F.when(both, F.col("held_tokens") - F.col("helped_tokens"))})

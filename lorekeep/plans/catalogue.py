@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import error_keys, lines, names, redaction, versions
 from ..operators import publish, search, stats, strength
 from ..streaming import sessions as machine
-from . import published
+from . import activity, published
 
-QUERIES: dict = dict(published.QUERIES)
-SQL: dict = dict(published.SQL)
+QUERIES: dict = published.QUERIES | activity.QUERIES
+SQL: dict = published.SQL | activity.SQL
 LIVE_DAYS = 30
 
 
