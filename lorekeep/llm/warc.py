@@ -41,8 +41,8 @@ ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-#: Rows that share a digest with others are spread over so many keys when they look up the record to refer to.
-SALTS = 32
+#: Tasks that read archives, at most.
+MOST_READERS = 20_000
 
 
 class WarcError(ValueError):
@@ -197,9 +197,9 @@ def write_warc(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"sha": F.unhex(F.sha1("html")), "n": F.octet_length("html")})
     groups = rows.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    shared = groups.where("copies > 1 AND first_id IS NOT NULL").select("sha", "n", "first_id", spread.alias("salt"))
-    marked = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(shared, ["sha", "n", "salt"], "left")
+    # Written first: both sides of the join are then shuffled for it, and a payload that very many rows share is split among tasks.
+    shared = kept(groups.where("copies > 1 AND first_id IS NOT NULL").select("sha", "n", "first_id"), "warc-shared")
+    marked = rows.join(shared, ["sha", "n"], "left")
     refers = F.when(F.col("first_id") != F.coalesce("page_id", F.lit(-1) - F.col("first_id")), F.col("first_id"))
 
     @lean
@@ -241,7 +241,8 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     names = [x.split()[0] for x in schema.split(", ")]
     _frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-    return manifest.repartition("archive").mapInPandas(read, schema)
+    readers = max(1, min(MOST_READERS, manifest.count()))  # an archive is the work of a task
+    return manifest.repartition(readers, "archive").mapInPandas(read, schema)
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
