@@ -90,14 +90,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     where it is not drawn), shard and the place in it; targets: source, source_size, weight, target."""
     if not 0 < cap <= 2:
         raise ValueError("cap is over 0 and at most 2: a document is drawn at most twice")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    # Rows alike in all but place are told apart by a number that is written, and so stays.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("die"))
+    # The die depends on identifier and text: rows without identifiers are spread too, and a rerun agrees. Rows alike in both are
+    # told apart by a number that is written, and so stays.
     rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, cap)
     quota = F.round("target").cast("long")
     per_source = kept(per_source.withColumns({"quota": quota, "n_blocks": F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long")}), "targets")
     dealt = _with(rows, per_source.select("source", "n_blocks", "quota", "source_size"), "source")
-    dealt = dealt.withColumn("block", F.floor(_hash01("doc_id", F.lit(seed)) * F.col("n_blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.floor(_hash01("die", F.lit(seed)) * F.col("n_blocks")).cast("int"))
     blocks = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("source_size").alias("source_size"))
     blocks = blocks.withColumn("epoch", F.explode(F.array(F.lit(1), F.lit(2))))
     # Of each epoch: what of the quota it takes, and the order of its blocks (at most MOST_BLOCKS a source).
@@ -109,15 +110,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     leaves = vector.groupBy().applyInPandas(_leaves(shards, seed), "source string, epoch int, shard int, first long, after long")
     inside = (F.col("place") >= F.col("first")) & (F.col("place") < F.col("after"))
     drawn = _with(placed, leaves, "source", "epoch", where=inside, how="left").drop("first", "after")
-    both = _with(dealt, drawn, "source", "block").select("doc_id", "source", "size", "row", "block", "epoch", "left", "shard")
-    within = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("doc_id", "epoch", F.lit(seed + 1)), "doc_id", "row")
+    both = _with(dealt, drawn, "source", "block").select("doc_id", "source", "size", "row", "die", "block", "epoch", "left", "shard")
+    within = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("die", "epoch", F.lit(seed + 1)), "doc_id", "row")
     both = both.withColumn("at", F.sum("size").over(within) - F.col("size"))
-    taken = F.least("size", F.greatest(F.lit(0), F.col("left") - F.col("at")))
-    draws = both.select("doc_id", "source", "size", "row", "epoch", taken.alias("taken"), "shard", F.xxhash64("doc_id", "epoch", F.lit(seed + 2)).alias("place_in_shard"))
+    # What no leaf of the tree holds is not drawn.
+    taken = F.when(F.col("shard").isNotNull(), F.least("size", F.greatest(F.lit(0), F.col("left") - F.col("at")))).otherwise(0)
+    draws = both.select("doc_id", "source", "size", "row", "epoch", taken.alias("taken"), "shard", F.xxhash64("die", "epoch", F.lit(seed + 2)).alias("place_in_shard"))
     return draws, per_source
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws, per_source = mix(read_table(spark, sf_dir, "documents"))
-    taken = draws.groupBy("row", "doc_id", "source", "size").agg(F.sum("taken").alias("taken"))
-    return _with(taken, per_source.select("source", "source_size", "target"), "source").select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    drawn = F.sort_array(F.collect_set(F.when(F.col("taken") > 0, F.col("shard"))))  # one an epoch
+    taken = draws.groupBy("row", "doc_id", "source", "size").agg(F.sum("taken").alias("taken"), drawn.alias("shards"))
+    return _with(taken, per_source.select("source", "source_size", "target"), "source").select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "shards")
