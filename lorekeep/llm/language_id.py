@@ -82,8 +82,9 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = np.full((len(langs), BUCKETS), 0.5)
-    for lang, bucket, n in counts.toPandas().itertuples(index=False):  # at most MOST_LANGUAGES x BUCKETS rows
-        table[langs.index(lang), bucket] += n
+    number = F.create_map(*(F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)))[F.col("lang")] if langs else F.lit(0)
+    found = counts.select(number.alias("lang"), "bucket", "n").toPandas()  # numbers only, at most MOST_LANGUAGES x BUCKETS rows, each pair once
+    table[found["lang"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -120,9 +121,10 @@ def infer(at: np.ndarray, n: np.ndarray, logs: np.ndarray) -> tuple[int, float]:
     return chosen[top], float(min(1.0, shares[top]))
 
 
-def _predict(langs: list[str], logs: np.ndarray, names: list[str]) -> Callable:
+def _predict(langs: list[str], shared, names: list[str]) -> Callable:
     @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        logs = shared.value
         for batch in batches:
             found = []
             for text in batch["text"]:
@@ -139,7 +141,8 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, carry: list[st
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInPandas(_predict(langs, logs, carry), schema)
+    shared = docs.sparkSession.sparkContext.broadcast(logs)  # at most MOST_LANGUAGES x BUCKETS numbers of four bytes, 64 MB
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInPandas(_predict(langs, shared, carry), schema)
 
 
 def held_out() -> F.Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import struct
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from lorekeep.llm import queries, vector_dedup
+from lorekeep.llm import language_id, queries, vector_dedup
 from lorekeep.llm.chat import HOSTILE, Reader, Template, format_chat, read_chat
 from lorekeep.llm.language_id import held_out, identify, infer, is_held_out, train
 from lorekeep.llm.mixing import mix, targets
@@ -158,6 +159,28 @@ def test_op4(spark, sf_dir):
     found = queries.QUERIES["op4_mixing"](spark, sf_dir).collect()
     assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(0 <= r.taken <= 2 * r["size"] and r.target <= 2 * r.source_size for r in found)
+    sources = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sizes, taken = Counter(), Counter()
+    for r in found:
+        sizes[sources[r.doc_id]] += r["size"]
+        taken[sources[r.doc_id]] += r.taken
+        assert bool(r.shards) == (r.taken > 0)
+    expected = brute_targets(sizes)
+    for r in found:
+        source = sources[r.doc_id]
+        assert r.source_size == sizes[source] and abs(r.target - expected[source]) < 1e-5 * max(1, expected[source]) and abs(taken[source] - expected[source]) <= 0.5
+
+
+def test_mix_of_rows_without_identifiers(spark):
+    """They are spread over blocks like others, and a rerun over other files takes the same words of the same texts."""
+    rows = [(None, f"word{i} " * (1 + i % 7), "a" if i % 3 else None) for i in range(300)]
+    found = []
+    for parts in (1, 5):
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        draws, sources = mix(table)
+        found.append(sorted(((r["size"], r.source, r.epoch, r.taken) for r in draws.collect()), key=repr))
+        check_mix(draws.groupBy("row", "source", "size").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect(), sources.collect())
+    assert found[0] == found[1]
 
 
 # --- languages
@@ -186,6 +209,64 @@ def test_language_cases(spark):
     assert none == [] and {r.lang_pred for r in identify(docs, none, table, ["doc_id"]).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Counts of letter 3-grams around each letter, words apart: by the rule, one letter after the other."""
+    codes = [32, *((ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() and ord(c) < 1 << 16 else 32 for c in text or ""), 32]
+    found = Counter()
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        if b != 32:
+            found[((a * 1_000_003 + b * 8_191 + c) * 2_654_435_761 % (1 << 32) >> 12) % language_id.BUCKETS] += 1
+    return found
+
+
+def plain_mixture(grams, chances, chosen, rounds):
+    share = {k: 1 / len(chosen) for k in chosen}
+    for _ in range(rounds):
+        new = dict.fromkeys(chosen, 0.0)
+        for g, n in grams.items():
+            whole = sum(chances[k][g] * share[k] for k in chosen)
+            for k in chosen:
+                new[k] += n * chances[k][g] * share[k] / whole
+        share = {k: v / sum(grams.values()) for k, v in new.items()}
+    return share, sum(n * math.log(sum(chances[k][g] * share[k] for k in chosen)) for g, n in grams.items())
+
+
+def test_languages_by_plain_expectation_maximisation(spark, sf_dir):
+    """The whole query again in plain loops: counts, proportions, penalised choice, for every short document and some long ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    sums = defaultdict(Counter)
+    for r in docs:
+        if r.lang is not None and not is_held_out(r.doc_id):
+            sums[r.lang] += plain_grams(r.text)
+    langs = sorted(sums)
+    total = {k: sum(sums[k].values()) + 0.5 * language_id.BUCKETS for k in langs}
+    chances = {k: defaultdict(lambda k=k: 0.5 / total[k], {g: (n + 0.5) / total[k] for g, n in sums[k].items()}) for k in langs}
+    found = {r.doc_id: r for r in queries.QUERIES["op6_language_id"](spark, sf_dir).collect()}
+    compared = 0
+    for r in docs:
+        grams = plain_grams(r.text)
+        if not grams or len(grams) > 400 and r.doc_id % 10:
+            assert grams or (found[r.doc_id].lang_pred, found[r.doc_id].score) == ("und", 0.0)
+            continue
+        alone = {k: sum(n * math.log(chances[k][g]) for g, n in grams.items()) for k in langs}
+        best = max(langs, key=lambda k: (alone[k], -langs.index(k)))
+        share, _ = plain_mixture(grams, chances, langs, language_id.ROUNDS)
+        penalty, chosen, value, shares = language_id.PENALTY * 0.5 * math.log(sum(grams.values()) + 1), [best], alone[best], {best: 1.0}
+        for k in sorted(langs, key=lambda k: -share[k]):
+            if k in chosen:
+                continue
+            if share[k] < 0.01:
+                break
+            new, likely = plain_mixture(grams, chances, [*chosen, k], language_id.ROUNDS)
+            if likely - value <= penalty:
+                break
+            chosen, value, shares = [*chosen, k], likely, new
+        top = max(chosen, key=lambda k: shares[k])
+        assert found[r.doc_id].lang_pred == top and abs(found[r.doc_id].score - shares[top]) < 1e-3, r.doc_id
+        compared += 1
+    assert compared >= len(docs) // 4
+
+
 def test_mixture_of_languages():
     """Grams of two languages in equal parts: both are in the set, and neither has all of the text."""
     logs = np.log(np.array([[0.45, 0.45, 0.05, 0.05], [0.05, 0.05, 0.45, 0.45], [0.25, 0.25, 0.25, 0.25]], dtype=np.float32))
