@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, kept, numbered, read_table
+from .common import dropped, kept, numbered, read_table, shuffle_partitions
 from .shingles import mixed
 
 LENGTH = 200
@@ -281,6 +281,88 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
     return settled.unionByName(smaller).unionByName(single), affected
 
 
+# --- Doubling over every position ------------------------------------------------------------------------------------
+# The plain method, for small corpora: each position's rank pair is sorted in every round. It moves a row a byte of text and
+# round, which README compares with the budget; remove_repeats takes it where asked.
+
+_PAIRS = "row long, at long, first long, second long"
+
+
+def _every_position(length: int, seed: int) -> Callable:
+    """Every start of a string of length, with the hash of its first seed bytes, and those of the seeds further on in it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row, text in zip(batch["row"].tolist(), batch["text"].tolist(), strict=True):
+                for offset, raw in _stretches(text.encode("utf-8", "surrogatepass"), length):
+                    at = np.arange(len(raw) - seed + 1)
+                    rank = Hashes(raw).of(at, at + seed).view(np.int64)
+                    for a in range(0, len(at), 100_000):
+                        yield pd.DataFrame({"row": row, "at": at[a : a + 100_000] + offset, "first": rank[a : a + 100_000], "second": 0})
+
+    return run
+
+
+def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by pair: those whose pair another row has too, with the pair's place in the order as their rank."""
+    from pyspark import TaskContext
+
+    number, held = TaskContext.get().partitionId() << 40, None
+    for batch in batches:
+        rows = batch[["row", "at", "first", "second"]].to_numpy()
+        if held is not None:
+            rows = np.concatenate([held[:1], rows])
+        same = (rows[1:, 2:] == rows[:-1, 2:]).all(axis=1)
+        before = np.concatenate([[held is not None and held.shape[0] > 1], same])  # whether the row before has the same pair
+        after = np.concatenate([same, [False]])
+        rank = number + np.cumsum(np.concatenate([[0], ~same]))
+        last, number = rows[-1:], int(rank[-1])
+        told = (before | after) & ~np.concatenate([[held is not None and held.shape[0] > 1], np.zeros(len(rows) - 1, bool)])
+        told[-1] = before[-1] and len(rows) > 1
+        yield pd.DataFrame({"row": rows[told, 0], "at": rows[told, 1], "rank": rank[told]})
+        held = np.repeat(last, 2, axis=0) if before[-1] else last  # two: it has been told
+
+
+def _paired(offset: int) -> Callable:
+    """Of a document's ranked positions in order: pairs of the ranks at a position and at an offset from it; a position without
+    its partner is unique at the greater length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"row": [], "at": [], "rank": []}, dtype="int64")
+        for batch in batches:
+            rows = pd.concat([held, batch[["row", "at", "rank"]]], ignore_index=True)
+            cut = (rows["row"] == rows["row"].iloc[-1]) & (rows["at"] > rows["at"].iloc[-1] - offset)
+            yield _pairs(rows, ~cut.to_numpy(), offset)
+            held = rows[cut]
+        if len(held):
+            yield _pairs(held.reset_index(drop=True), np.ones(len(held), dtype=bool), offset)
+
+    return run
+
+
+def _pairs(rows: pd.DataFrame, wanted: np.ndarray, offset: int) -> pd.DataFrame:
+    key = (rows["row"].to_numpy() << 28) + rows["at"].to_numpy()
+    at = np.minimum(np.searchsorted(key, key + offset), len(key) - 1)
+    good = wanted & (key[at] == key + offset)
+    rank = rows["rank"].to_numpy()
+    return pd.DataFrame({"row": rows["row"].to_numpy()[good], "at": rows["at"].to_numpy()[good], "first": rank[good], "second": rank[at[good]]})
+
+
+def spans_by_doubling(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """row, start, stop of repeated stretches, by prefix doubling over every position: the ranks of lengths seed, 2 seed, 4 seed ...
+    and at last length follow from sorts of pairs of ranks; what is unique is dropped in each round. docs: row, text."""
+    n = shuffle_partitions(docs.sparkSession)
+    pairs = docs.where(F.octet_length("text") >= length).select("row", "text").mapInPandas(_every_position(length, seed), _PAIRS)
+    reach = seed
+    while True:
+        ranked = kept(pairs.repartitionByRange(n, "first", "second").sortWithinPartitions("first", "second").mapInPandas(_ranked, "row long, at long, rank long"), "ranks")
+        if reach == length:
+            return ranked.select("row", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+        offset = min(reach, length - reach)  # at the end, the two parts overlap
+        pairs = ranked.repartition(n, "row").sortWithinPartitions("row", "at").mapInPandas(_paired(offset), _PAIRS)
+        reach += offset
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = numbered(docs.select("doc_id", "text"))

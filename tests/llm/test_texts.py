@@ -16,7 +16,7 @@ from lorekeep.llm.common import connected_components
 from lorekeep.llm.exact_dedup import exact_dedup
 from lorekeep.llm.near_dedup import near_duplicates
 from lorekeep.llm.packing import best_fit, fit_by_pairs, pack, pack_documents
-from lorekeep.llm.substring_dedup import remove_repeats
+from lorekeep.llm.substring_dedup import remove_repeats, repeated_spans, spans_by_doubling
 from lorekeep.llm.token_files import TokenFile, read_token_files, write_token_files
 
 from . import fixtures
@@ -96,6 +96,20 @@ def test_repeats(spark):
     assert remove_repeats(fixtures.empty(spark)).count() == 0
 
 
+def test_repeats_by_doubling_over_every_position(spark):
+    """The plain method gives the spans of the sampled one, over batches of one row too."""
+    docs = [(i, t or "") for i, t, *_ in fixtures.odd_rows()] + [(50, "ab" * 300), (51, "ab" * 90), (52, "a" * 200), (53, "a" * 199)]
+    table = spark.createDataFrame(docs, "row long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {(r.row, at) for r in spans_by_doubling(table).collect() for at in range(r.start, r.stop)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sampled, _ = repeated_spans(table)
+    assert found == {(r.row, at) for r in sampled.collect() for at in range(r.start, r.stop)} and found
+    assert spans_by_doubling(table.limit(0)).count() == 0
+
+
 def test_repeats_of_few_letters(spark):
     """Periodic texts, repeats at both ends, overlaps, and repeats of exactly one byte less than counts."""
     p, q = fixtures.text(31, 90), fixtures.text(32, 90)
