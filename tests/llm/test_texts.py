@@ -5,12 +5,15 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from unittest import mock
 
+import pandas as pd
 import public_tokenizers
 import pytest
 from conftest import rows_of, sql_rows
 from tokenizers import Tokenizer
 
+from lorekeep.llm import exact_dedup as exact_dedup_module
 from lorekeep.llm import near_dedup, queries
 from lorekeep.llm.common import connected_components
 from lorekeep.llm.exact_dedup import exact_dedup
@@ -63,6 +66,32 @@ def test_exact_group_over_partitions(spark):
     assert tuple(found) == (1667, 4998, 4998, 1667, 1)
 
 
+def test_exact_long_runs():
+    """Runs over the number of ids that are held, at edges and between them; each row once, the size with the run's last row."""
+    rows = [("a", 25), ("b", 3), ("c", 10), ("d", 11), ("e", 21), ("f", 1), ("g", 40)]
+    batch = pd.DataFrame([(k * 100 + i, t) for k, (t, n) in enumerate(rows) for i in range(n)], columns=["doc_id", "text"])
+    old, exact_dedup_module.HELD = exact_dedup_module.HELD, 10
+    try:
+        with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 3)):
+            found = pd.concat(list(exact_dedup_module._runs(iter([batch.iloc[:30], batch.iloc[30:31], batch.iloc[31:]]))))
+    finally:
+        exact_dedup_module.HELD = old
+    assert found["doc_id"].tolist() == batch["doc_id"].tolist()
+    for k, (_, n) in enumerate(rows):
+        own = found[found["doc_id"] // 100 == k]
+        assert own["run_keep"].tolist() == [k * 100] * n and own["run_first"].tolist() == [True] + [False] * (n - 1)
+        sized = own[own["run_size"].notna()]
+        assert len(sized) == (n if n <= 10 else 1) and set(sized["run_size"]) == {n} and set(sized["edge"]) == {k in (0, 6)}
+        assert own["long_run"].nunique() == (n > 10)
+
+
+def test_exact_long_runs_of_a_table(spark):
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'same', CAST(id AS STRING)) AS text").coalesce(4)
+    found = exact_dedup(rows, keep="smallest")
+    assert tuple(found.where("text_sha256 = sha2('same', 256)").selectExpr("count(*)", "min(keep_id)", "max(keep_id)", "min(group_size)", "max(group_size)", "count_if(kept)").first()) == (30_000, 0, 0, 30_000, 30_000, 1)
+    assert found.count() == 60_000 and found.where("kept").count() == 30_001
+
+
 # --- substrings
 
 
