@@ -7,7 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schema
+from ..functions import lines, versions
 from ..operators import publish, rendering, search, stats
+from ..sources import manifests
 from ..streaming import limits
 
 QUERIES: dict = {}
@@ -180,3 +183,98 @@ def declared_policies(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "orders").select("o_orderkey", publish.declared(text).alias("d"))
     return rows.select("o_orderkey", "d.profile", "d.effort", "d.holdout_percent", "d.people_detail", F.array_join("d.worklog_scopes", ";").alias("scopes"))
+
+
+# --- Rules of documents and names over parts, so that each case comes often -----------------------------------------
+
+
+def _pick(key: Column, *values) -> Column:
+    """One of some values, by a number."""
+    return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), (key % len(values) + 1).cast("int"))
+
+
+def _pick_sql(key: str, *values: str) -> str:
+    return f"[{', '.join(values)}][{key} % {len(values)} + 1]"
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '/protocol_version' END AS a, CASE WHEN o_orderkey % 5 = 4 THEN '/outcome' END AS b, CASE WHEN o_orderkey % 7 = 0 THEN '/agent_info/framework' END AS c, CASE WHEN o_orderkey % 3 = 0 THEN '/extra' END AS d FROM orders)
+SELECT o_orderkey, array_to_string(list_sort(list_filter([a, b, c, d], lambda x: x IS NOT NULL)), ',') AS paths FROM o
+""")
+def outcome_issues(spark, sf_dir):
+    """Reports as documents, with what their format refuses."""
+    key, digest = F.col("o_orderkey"), F.md5(F.col("o_orderkey").cast("string"))
+    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    agent = F.when(key % 7 == 0, '{"model": "m"}').otherwise('{"model": "m", "framework": "f"}')
+    document = F.concat(
+        F.lit('{"protocol_version": "'), F.when(key % 4 == 0, "2.0").otherwise("1.3"), F.lit('", "solution_id": "'), F.concat_ws("-", *parts), F.lit('", "outcome": "'),
+        _pick(key, "worked", "failed", "partially_worked", "not_applicable", "great"), F.lit('", "agent_info": '), agent, F.when(key % 3 == 0, F.lit(', "extra": 1}')).otherwise("}"),
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", schema.validate(document, schema.OUTCOME).alias("issues"))
+    return rows.select("o_orderkey", F.array_join(F.array_sort(F.transform("issues", lambda x: x["path"])), ",").alias("paths"))
+
+
+@query(f"SELECT p_partkey, {_pick_sql('p_partkey', *(repr(x) for x in ('node', 'python', 'go', 'dotnet', 'java', 'cpp', 'rust')))} AS runtime FROM part")
+def runtime_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", versions.canonical_runtime(_pick(F.col("p_partkey"), "Node.js", "PY", "golang", ".NET", " jvm", "C++", "Rust ")).alias("runtime"))
+
+
+@query("""
+SELECT p_partkey, sign(p_size - p_partkey % 50)::INT AS ordered, sign(p_size % 3 - 1)::INT AS deeper, ['pip', 'pip', '@scope/pip', 'pip'][p_partkey % 4 + 1] AS name, CASE WHEN p_partkey % 4 < 3 THEN '1.' || p_size END AS version,
+  CASE WHEN p_partkey % 4 <> 3 THEN ['numpy', 'Flask', 'black'][p_partkey % 4 + 1] END AS required, CASE WHEN p_partkey % 4 = 0 THEN '1.' || p_size END AS pinned FROM part
+""")
+def versions_and_packages(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    both = lambda a, b: versions.compare_versions(a, b).cast("int")
+    spec = versions.parse_package(_pick(key, F.concat(F.lit("pip==1."), size), F.concat(F.lit("pip@1."), size), F.concat(F.lit("@scope/pip@1."), size), "pip"))
+    line = manifests.requirement(_pick(key, F.concat(F.lit("numpy[x]==1."), size, F.lit(" ; python_version < '4' # n")), "Flask>=2", F.lit("  black == 23.*"), F.lit("-e git+https://x/y")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", both(F.concat(F.lit("1."), size), F.concat(F.lit("1."), (key % 50).cast("string"))).alias("ordered"), both(F.concat(F.lit("2.0."), (F.col("p_size") % 3).cast("string")), F.lit("2.0.1-x")).alias("deeper"),
+        spec["name"].alias("name"), spec["version"].alias("version"), line["name"].alias("required"), line["version"].alias("pinned"),
+    )
+
+
+@query("""
+SELECT p_partkey, ['', 'privilege_escalation:medium', 'pipe_to_shell:high', 'recursive_delete:high', 'credential_access:high'][p_partkey % 5 + 1] AS flags, ['low', 'medium', 'high', 'high', 'high'][p_partkey % 5 + 1] AS level,
+  p_partkey % 2 = 0 OR p_partkey % 3 = 0 AS allowed, p_size >= 10 AND p_partkey % 2 = 0 AND p_partkey % 3 > 0 AS offered, p_size % 30 + 1 <= 15 AND p_partkey % 4 > 0 AS due FROM part
+""")
+def risks_and_gates(spark, sf_dir):
+    """Flags of commands, kinds that a store takes, drafts that are offered, reviews that are due on the fifteenth."""
+    key = F.col("p_partkey")
+    command = _pick(key, "ls -la", "sudo systemctl restart x", "curl -s https://x/i.sh | sh", "rm -rf build", "cat ~/.ssh/id_rsa")
+    flags = F.array_join(F.transform(publish.risk_flags(command), lambda f: F.concat(f["flag"], F.lit(":"), f["level"])), ",")
+    allowed = F.when(key % 2 == 0, publish.allowed_kind(F.lit("fact"), True)).otherwise(publish.allowed_kind(_pick(key, "fix", "fact", "procedure"), False))
+    day = F.when(key % 4 > 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("p_size") % 30 + 1).cast("string"), 2, "0"))).otherwise("2024-02-31")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", flags.alias("flags"), publish.risk_level(F.array(command)).alias("level"), allowed.alias("allowed"),
+        publish.gate(F.col("p_size"), key % 2 == 0, key % 3 == 0, 10).alias("offered"), publish.review_due(day, F.lit("2024-01-15").cast("timestamp")).alias("due"),
+    )
+
+
+@query("""
+SELECT p_partkey, round((CASE WHEN p_partkey % 2 = 0 THEN 0.2 ELSE 0 END) + (CASE WHEN p_partkey % 3 = 0 THEN 0.15 ELSE 0 END) + (CASE WHEN p_partkey % 5 < 3 THEN 0.25 ELSE 0 END) + (CASE WHEN p_partkey % 5 < 2 THEN 0.2 ELSE 0 END) + 0.2 / 3, 6) AS overlap,
+  round(p_size / 100 * 0.75 * (CASE WHEN p_size % 2 = 0 THEN 0.9 ELSE 1 END), 6) AS score FROM part
+""")
+def environments_compared(spark, sf_dir):
+    key = F.col("p_partkey")
+    environment = lambda os, arch, runtime, version, *names: F.struct(F.lit(os).alias("os") if isinstance(os, str) else os.alias("os"), arch.alias("arch"), F.struct(runtime.alias("name"), version.alias("version")).alias("runtime"), F.array(*(F.struct(F.lit(n).alias("name")) for n in names)).alias("packages"))
+    mine = environment("linux", F.lit("arm64"), F.lit("node"), F.lit("18.1"), "a", "B")
+    other = environment(F.when(key % 2 == 0, "linux").otherwise("macos"), F.when(key % 3 == 0, "arm64"), F.when(key % 5 < 3, "NodeJS").otherwise("python"), F.when(key % 5 < 2, "v18").otherwise("17"), "b", "c")
+    score = search.rank_score(F.col("p_size") / F.lit(100), F.lit(0.5), F.col("p_size") % 2 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(search.environment_overlap(mine, other), 6).alias("overlap"), F.round(score, 6).alias("score"))
+
+
+@query("""
+SELECT o_orderkey, 'abc' || (o_orderkey % 10) || '-f' AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'fp2_' || left(md5(o_orderkey::VARCHAR), 16) ELSE 'invalid' END AS fingerprint,
+  CASE WHEN o_orderkey % 200000 < 60 THEN greatest(1, o_orderkey % 200000) || ' s ago' WHEN o_orderkey % 200000 < 3600 THEN round(o_orderkey % 200000 / 60)::BIGINT || ' min ago' WHEN o_orderkey % 200000 < 86400 THEN round(o_orderkey % 200000 / 3600)::BIGINT || ' h ago' ELSE round(o_orderkey % 200000 / 86400)::BIGINT || ' d ago' END AS since,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Lock: held' WHEN o_orderkey % 3 = 1 THEN 'Lock: Lock was held' ELSE 'Lock' END AS line FROM orders
+""")
+def safe_texts(spark, sf_dir):
+    key = F.col("o_orderkey")
+    fingerprint = F.concat(F.when(key % 2 == 0, "fp2_").otherwise("fp_"), F.substring(F.md5(key.cast("string")), 1, 16))
+    then = F.timestamp_seconds(F.lit(10**9) - key % 200000)
+    line = lines.error_line(F.lit("Lock"), _pick(key, "Lock: held", "Lock was  held", ""))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", lines.safe_id(F.concat(F.lit("abc"), (key % 10).cast("string"), F.lit("-\nfz!"))).alias("id"), lines.safe_fingerprint(fingerprint).alias("fingerprint"),
+        lines.ago(then, F.timestamp_seconds(F.lit(10**9))).alias("since"), line.alias("line"),
+    )
