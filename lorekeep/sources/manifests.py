@@ -20,6 +20,11 @@ VERSION_FILES = (".nvmrc", ".node-version", ".python-version")
 KNOWN = tuple(dict.fromkeys(("package.json", "package-lock.json", *REQUIREMENTS, *PYTHON_MARKS, *LOCKS, *VERSION_FILES)))
 NOT_REGISTRY = r"(?i)^(workspace:|file:|link:|portal:|git|github:|https?:|npm:)|[\\/]"
 REQUIREMENT = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:(===?|~=)\s*([A-Za-z0-9.*+!_-]+))?"
+PROJECT_LIST = r"(?ms)^\[project\].*?^dependencies\s*=\s*\[(.*?)^\]"
+POETRY_TABLE = r"(?ms)^\[tool\.poetry\.dependencies\]\s*$(.*?)(?=^\[|\z)"
+POETRY_ENTRY = r'(?m)^([A-Za-z0-9][A-Za-z0-9._-]*)\s*=\s*(?:"([^"]*)"|\{[^}]*version\s*=\s*"([^"]*)"[^}]*\})'
+LOCKED_BLOCK = r"\n\[\[package\]\][ \t\r]*(?=\n|\z)"
+LOCKED_NAME, LOCKED_VERSION = (rf'(?m)^{field}\s*=\s*"([^"]+)"' for field in ("name", "version"))
 MOST = 30
 
 _PAIR = "struct<name:string,version:string>"
@@ -62,24 +67,21 @@ def _node(text: Column, lock: Column, scoped: bool) -> Column:
 
 
 def _pyproject(text: Column) -> Column:
-    block = F.regexp_extract(text, r"(?ms)^\[project\].*?^dependencies\s*=\s*\[(.*?)^\]", 1)
-    listed = F.transform(F.regexp_extract_all(block, F.lit('"([^"]+)"'), F.lit(1)), requirement)
-    poetry = F.regexp_extract(text, r"(?ms)^\[tool\.poetry\.dependencies\]\s*$(.*?)(?=^\[|\z)", 1)
-    entry = r'(?m)^([A-Za-z0-9][A-Za-z0-9._-]*)\s*=\s*(?:"([^"]*)"|\{[^}]*version\s*=\s*"([^"]*)"[^}]*\})'
-    whole = F.regexp_extract_all(poetry, F.lit(f"({entry.removeprefix('(?m)')})".replace("(^", "((?m)^", 1)), F.lit(1))
+    listed = F.transform(F.regexp_extract_all(F.regexp_extract(text, PROJECT_LIST, 1), F.lit('"([^"]+)"'), F.lit(1)), requirement)
+    entries = F.regexp_extract_all(F.regexp_extract(text, POETRY_TABLE, 1), F.lit(POETRY_ENTRY), F.lit(0))
 
     def one(e: Column) -> Column:
-        name = F.regexp_extract(e, entry, 1)
-        spec = F.trim(F.concat(F.regexp_extract(e, entry, 2), F.regexp_extract(e, entry, 3)))
+        name = F.regexp_extract(e, POETRY_ENTRY, 1)
+        spec = F.trim(F.concat(F.regexp_extract(e, POETRY_ENTRY, 2), F.regexp_extract(e, POETRY_ENTRY, 3)))
         return F.when(F.lower(name) != "python", _pair(name, F.when((spec != "") & ~spec.rlike(NOT_REGISTRY), spec)))
 
-    return F.concat(_some(listed), _some(F.transform(whole, one)))
+    return F.concat(_some(listed), _some(F.transform(entries, one)))
 
 
 def _locked(text: Column) -> Column:
-    """array of (normal name, version) of [[package]] blocks."""
-    blocks = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), r"\n\[\[package\]\][ \t\r]*(?=\n|\z)"), 2, 1_000_000)
-    one = lambda b: _pair(normal_name(F.regexp_extract(b, r'(?m)^name\s*=\s*"([^"]+)"', 1)), F.regexp_extract(b, r'(?m)^version\s*=\s*"([^"]+)"', 1))
+    """array of (normal name, version) of the packages of a lock file."""
+    blocks = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), LOCKED_BLOCK), 2, 1_000_000)
+    one = lambda b: _pair(normal_name(F.regexp_extract(b, LOCKED_NAME, 1)), F.regexp_extract(b, LOCKED_VERSION, 1))
     return F.filter(F.transform(blocks, one), lambda p: (p["name"] != "") & (p["version"] != ""))
 
 
