@@ -6,10 +6,10 @@ by centroids that are fitted on a bounded sample of it: each member goes to the
 not part, vectors that are nearly all alike, is dealt into chunks, and each two chunks make a shard.
 
 In each shard a graph is built: a node's neighbours are robustly pruned (one is left out if a nearer one is ALPHA times
-nearer to it than the node is), and edges lead both ways. The adjacency lists of all shards are united by node. A shard also gets the nodes of other
+nearer to it than the node is). The adjacency lists of all shards are united by node. A shard also gets the nodes of other
 shards that its members' lists lead to, if they are near enough for a link with a member to be possible. Then each shard
 is searched for its members: a greedy beam search over the united lists from the shard's medoid, widened into a range
-search that goes on from every vector found within the range. What is found is verified by cosine in double precision.
+search that goes on, along edges in both directions, from every vector found within the range. What is found is verified by cosine in double precision.
 
 Links are not written pair by pair. A pair that shares shards belongs to the first of them; a shard hands on, for each
 member, the number of its links, and edges that keep linked members connected. Only pairs that share no shard are
@@ -39,8 +39,10 @@ SHARD, MOST_IN_SHARD = 1_500, 3_000
 SAMPLE, MOST_CENTROIDS, ROWS = 16_384, 1_024, 50_000
 LEVELS = 4
 OVERLAP, MORE_OVERLAP, ATTEMPTS = 4, 3, 3
-DEGREE, BACK, CANDIDATES, ALPHA = 24, 24, 64, 1.2
+DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 BEAM, STEPS = 8, 24
+#: Edges that the range search follows at once.
+PAIRS_AT_ONCE = 1_000_000
 #: Found vectors this much below the range still lead on.
 SLACK = 0.03
 AUDITED, MOST_AUDITED, AUDIT_LINKS, AUDIT_FLOOR, LEAST_RECALL = 400, 6_400, 200, 0.99, 0.9
@@ -138,20 +140,7 @@ def pruned(x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
                     live &= ALPHA * among[i] > gap
             out.append(cand[np.array(chosen, dtype=np.int64)])
             cosines.append(near[row, out[-1]])
-    return with_ways_back(out, cosines)
-
-
-def with_ways_back(lists: list[np.ndarray], cosines: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A node is also a neighbour of its neighbours: of those that lead to it, the BACK nearest are added."""
-    n = len(lists)
-    source, to, cosine = np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), np.concatenate([*cosines, np.zeros(0)])
-    order = np.lexsort((-cosine, to))
-    source, to, cosine = source[order], to[order], cosine[order]
-    starts, stops = np.searchsorted(to, np.arange(n)), np.searchsorted(to, np.arange(n), side="right")
-    for i, (a, b) in enumerate(zip(starts.tolist(), np.minimum(stops, starts + BACK).tolist(), strict=True)):
-        new = ~np.isin(source[a:b], lists[i])
-        lists[i], cosines[i] = np.append(lists[i], source[a:b][new]), np.append(cosines[i], cosine[a:b][new])
-    return lists, cosines
+    return out, cosines
 
 
 def _build(reach: float) -> Callable:
@@ -167,8 +156,17 @@ def _build(reach: float) -> Callable:
     return run
 
 
-def search(x: np.ndarray, near: np.ndarray, reach: float, asked: int) -> np.ndarray:
-    """Pairs (query, found) within the range, queries being the first rows of x; near: neighbours of each row, filled up with the row itself."""
+def both_ways(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a graph in both directions: where each node's begin, and what they lead to."""
+    n = len(lists)
+    a, b = np.repeat(np.arange(n), [len(x) for x in lists]), np.array([v for x in lists for v in x], dtype=np.int64)
+    edge = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.searchsorted(edge, np.arange(n + 1) * n), edge % n
+
+
+def search(x: np.ndarray, near: np.ndarray, around: tuple[np.ndarray, np.ndarray], reach: float, asked: int) -> np.ndarray:
+    """Pairs (query, found) within the range, queries being the first rows of x; near: neighbours of each row, filled up with
+    the row itself, for the beam; around: edges in both directions, for what lies in the range."""
     n = len(x)
     medoid = int(np.argmax(x @ unit(x.sum(axis=0, keepdims=True) + 1e-12)[0]))
     every = np.arange(asked)
@@ -199,11 +197,15 @@ def search(x: np.ndarray, near: np.ndarray, reach: float, asked: int) -> np.ndar
     front = np.unique(np.concatenate([hit // BEAM * n + beam.ravel()[hit], every * n + every]))
     found = np.zeros(asked * n, dtype=bool)
     found[front] = True
+    starts, ends = around
     while len(front):
         grown = []
-        for a in range(0, len(front), 20_000):
-            q, v = np.divmod(front[a : a + 20_000], n)
-            key = (q[:, None] * n + near[v]).ravel()
+        sizes = np.cumsum(np.diff(starts)[front % n])
+        for part in np.split(front, np.searchsorted(sizes, np.arange(PAIRS_AT_ONCE, sizes[-1], PAIRS_AT_ONCE))):
+            q, v = np.divmod(part, n)
+            count = starts[v + 1] - starts[v]
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - starts[v], count)
+            key = np.repeat(q, count) * n + ends[place]
             key = np.unique(key[~found[key]])
             q, v = np.divmod(key, n)
             key = key[np.einsum("pd,pd->p", x[q], x[v]) >= reach - SLACK]
@@ -241,7 +243,7 @@ def _find(threshold: float) -> Callable:
         near = np.repeat(np.arange(len(rows))[:, None], max(1, max(map(len, lists))), axis=1)
         for i, x in enumerate(lists):
             near[i, : len(x)] = x
-        pairs = search(exact.astype(np.float32), near, threshold, asked)
+        pairs = search(exact.astype(np.float32), near, both_ways(lists), threshold, asked)
         # Each pair once: from its smaller node, or from its member if the other is a guest. What either side found counts.
         a, b = pairs.T
         swap = (a > b) & (b < asked)
