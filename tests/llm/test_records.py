@@ -334,14 +334,16 @@ def test_vectors(spark):
 
 
 def test_vectors_in_many_small_shards(spark, monkeypatch):
-    """Levels of centroids, chunks of what they do not part, and guests from other shards."""
+    """Levels of centroids, chunks of what they do not part, and guests from other shards, with shards so small that clusters are
+    torn: no link too many, at least the recall that is promised, and components whole."""
     for name, value in {"SHARD": 20, "MOST_IN_SHARD": 40, "ROWS": 64, "LEVELS": 2}.items():
         monkeypatch.setattr(vector_dedup, name, value)
     rng = np.random.default_rng(8)
     centers = rng.standard_normal((12, 8))
     rows = [(i, [float(x) for x in centers[i % 12 if i < 400 else 0] + 0.1 * rng.standard_normal(8)]) for i in range(700)]
     found, expected = found_vectors(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), brute_vectors(rows)
-    assert all(a[1] <= b[1] for a, b in zip(found, expected, strict=True)) and sum(x[1] for x in found) >= 0.99 * sum(x[1] for x in expected)
+    assert all(a[1] <= b[1] for a, b in zip(found, expected, strict=True)) and sum(x[1] for x in found) >= vector_dedup.LEAST_RECALL * sum(x[1] for x in expected)
+    assert [x[::2] for x in found] == [x[::2] for x in expected]
 
 
 def test_held_out(spark):
