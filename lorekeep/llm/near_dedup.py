@@ -42,7 +42,7 @@ BLOCK = 500
 #: Tasks that the blocks of families are dealt to at most.
 MOST_TASKS = 20_000
 #: Rows of small buckets that one task compares at a time.
-ROWS_AT_ONCE = 10_000
+ROWS_AT_ONCE = 2_000
 _rng = np.random.default_rng(88)
 _XOR = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
