@@ -8,6 +8,7 @@ from .language_id import op6_language_id
 from .mixing import op4_mixing
 from .near_dedup import op8_minhash
 from .packing import op3_packing
+from .periodic_runs import op12_periodic_runs
 from .substring_dedup import op7_substring_dedup
 from .token_files import op10_token_files
 from .vector_dedup import op9_vector_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_token_files": op10_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL = {
