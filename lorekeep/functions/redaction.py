@@ -9,6 +9,7 @@ that hold one of its literals, and texts that hold none of any rule's never leav
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -280,31 +281,71 @@ def redact(text: Column, keep_network: bool = False, keep_personal: bool = False
     return F.when(text.isNotNull(), F.struct(F.when(some, done["text"]).otherwise(text).alias("text"), F.when(some, done["kinds"]).otherwise(nothing).alias("kinds")))
 
 
+def _has_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_text(f.dataType) for f in kind.fields)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
+    return _has_text(inner) if inner is not None else isinstance(kind, T.StringType)
+
+
+def _texts_of(value: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
+    """The strings of a value in its own shape, and that shape: arrays, structs of the fields that hold some, map values as arrays."""
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, *_texts_of(value[f.name], f.dataType)) for f in kind.fields if _has_text(f.dataType)]
+        shape = T.StructType([T.StructField(f"f{i}", k) for i, (_, _, k) in enumerate(parts)])
+        return F.when(value.isNotNull(), F.struct(*(c.alias(f"f{i}") for i, (_, c, _) in enumerate(parts)))), shape
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        inner, items = (kind.elementType, value) if isinstance(kind, T.ArrayType) else (kind.valueType, F.map_values(value))
+        shape: list[T.DataType] = []
+
+        def one(x: Column) -> Column:
+            found, k = _texts_of(x, inner)
+            shape.append(k)
+            return found
+
+        return F.transform(items, one), T.ArrayType(shape[0])
+    return value, T.StringType()
+
+
+def _put_back(value: Column, texts: Column, kind: T.DataType) -> Column:
+    """The value with other strings; all else is its own."""
+    if isinstance(kind, T.StructType):
+        names = [f.name for f in kind.fields if _has_text(f.dataType)]
+        field = lambda f: _put_back(value[f.name], texts[f"f{names.index(f.name)}"], f.dataType) if f.name in names else value[f.name]
+        return F.when(value.isNotNull(), F.struct(*(field(f).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.zip_with(value, texts, lambda v, t: _put_back(v, t, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_arrays(F.map_keys(value), F.zip_with(F.map_values(value), texts, lambda v, t: _put_back(v, t, kind.valueType)))
+    return texts
+
+
 def redact_leaves(value: Column, kind: T.DataType, **policy: bool) -> Column:
-    """A value of any type with every string in it redacted: arrays, structs and map values, by their schema.
+    """A value of any type with every string in it redacted: in arrays, structs and map values, by its schema. Map keys and all that
+    is no string stay what they are.
 
-    Strings inside arrays go to the Arrow function as one JSON array, since Spark runs none inside a lambda."""
+    Spark runs no Arrow function inside a lambda, so of arrays and maps the strings alone, in the value's shape, go to it as JSON
+    and are put back in their places."""
     if isinstance(kind, T.StringType):
         return redact(value, **policy)["text"]
     if isinstance(kind, T.StructType):
         return F.when(value.isNotNull(), F.struct(*(redact_leaves(value[f.name], f.dataType, **policy).alias(f.name) for f in kind.fields)))
-    if isinstance(kind, (T.ArrayType, T.MapType)) and "string" in kind.simpleString():
+    if not _has_text(kind):
+        return value
 
-        @F.pandas_udf(T.StringType())
-        def run(batch: pd.Series) -> pd.Series:
-            import json
+    @F.pandas_udf(T.StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        def walk(x):
+            if isinstance(x, str):
+                return redact_text(x, **policy)[0]
+            if isinstance(x, list):
+                return [walk(y) for y in x]
+            return {k: walk(v) for k, v in x.items()} if isinstance(x, dict) else x
 
-            def walk(x):
-                if isinstance(x, str):
-                    return redact_text(x, **policy)[0]
-                if isinstance(x, list):
-                    return [walk(y) for y in x]
-                return {k: walk(v) for k, v in x.items()} if isinstance(x, dict) else x
+        return batch.map(lambda t: json.dumps(walk(json.loads(t)), ensure_ascii=False), na_action="ignore")
 
-            return batch.map(lambda t: json.dumps(walk(json.loads(t)), ensure_ascii=False), na_action="ignore")
-
-        return F.from_json(run(F.to_json(value)), kind)
-    return value
+    texts, shape = _texts_of(value, kind)
+    return _put_back(value, F.from_json(run(F.to_json(texts)), shape), kind)
 
 
 def merge_counts(a: Column, b: Column) -> Column:
@@ -315,6 +356,15 @@ def merge_counts(a: Column, b: Column) -> Column:
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _begins(text: str, at: int) -> bool:
+    """Whether a sentence or line begins at a place: only white space before it, however much, up to a line's end or a sentence's."""
+    before = at
+    while before and text[before - 1].isspace():
+        before -= 1
+    gap = text[before:at]
+    return at == 0 or "\n" in gap or bool(gap and before and text[before - 1] in ".!?:")
+
+
 def names_in(texts: list[str], limit: int = 10) -> list[str]:
     """Runs of two or more capitalised words one space apart, without a sentence's first word: for a person to look at."""
     found: dict[str, None] = {}
@@ -327,7 +377,7 @@ def names_in(texts: list[str], limit: int = 10) -> list[str]:
             if capital:
                 runs[-1].append(m)
         for run in runs:
-            if run and re.search(r"(?:^|[.!?:]\s+|\n\s*)$", text[max(0, run[0].start() - 200) : run[0].start()] if run[0].start() else ""):
+            if run and _begins(text, run[0].start()):
                 run = run[1:]
             if len(run) > 1:
                 found[text[run[0].start() : run[-1].end()]] = None

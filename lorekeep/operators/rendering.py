@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lines import clip, defused, error_line, fenced, safe_fingerprint, safe_id
+from ..sources.text_files import write_files
 from .search import START_OVERLAP, START_SCORE, strongest_flags
 
 TAG = "lore_trails"
@@ -280,7 +281,7 @@ def note_text(h: Column) -> Column:
 
 
 def notes(hits: DataFrame) -> DataFrame:
-    """file, title, strength, text of each entry that states a problem. Files are named so that no two entries share one by title."""
+    """file, title, strength, text of each entry that states a problem. A file's name has the title and eight digits of the id."""
     h = F.struct(*hits.columns)
     problem = hits["trail"]["problem"]
     title = _plain(F.coalesce(F.nullif(problem["error_message"], F.lit("")), F.nullif(problem["error_type"], F.lit("")), F.lit("Trail")), 160)
@@ -288,10 +289,9 @@ def notes(hits: DataFrame) -> DataFrame:
     return rows.select(F.concat(slug(F.col("title"), F.col("trail_id")), F.lit(".md")).alias("file"), "title", "strength", "text")
 
 
-def index_lines(found: DataFrame) -> DataFrame:
-    """place, line: a link to each note, strongest first. Spark sorts; a line's place follows from its partition and row."""
-    line = F.concat(F.lit("- ["), F.col("title"), F.lit("](trails/"), F.col("file"), F.lit(") (strength "), _number(F.col("strength")), F.lit(")"))
-    return found.orderBy(F.desc("strength"), F.asc("file")).select(F.monotonically_increasing_id().alias("place"), line.alias("line"))
+def index_line(folder: str = "trails/") -> Column:
+    """A note's line of the index: a link to it, from where the index lies."""
+    return F.concat(F.lit("- ["), F.col("title"), F.lit(f"]({folder}"), F.col("file"), F.lit(") (strength "), _number(F.col("strength")), F.lit(")"))
 
 
 SKILL = (
@@ -299,16 +299,41 @@ SKILL = (
     "# Errors this team already solved\n\nWhen a command fails, look for its error line in the list and read the matching note. Skip its dead ends."
 )
 README = "# Errors this team already solved"
-
-
-def write_export(hits: DataFrame, folder: str, skill: bool = False) -> None:
-    """Notes as text files below folder/trails, one a file name, and the index as ordered text files in folder/index."""
+#: Lines of one file of the index.
+PAGE_LINES = 10_000
+
+
+def _listed(rows: DataFrame, *page: str) -> DataFrame:
+    """The lines of each page, strongest note first. rows: file, strength, line."""
+    lines = F.sort_array(F.collect_list(F.struct((-F.col("strength")).alias("less"), "file", "line")))
+    return rows.groupBy(*page).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("lines"))
+
+
+def index_files(found: DataFrame, skill: bool = False, page_lines: int = PAGE_LINES) -> DataFrame:
+    """file, text of the index of notes, strongest first: one file, README.md or SKILL.md, or, for more lines than a page has, one
+    that links to pages in index/, each a range of the order."""
+    head = f"{SKILL if skill else README}\n\n> {UNTRUSTED}\n\n"
+    name = "SKILL.md" if skill else "README.md"
+    total = found.count()
+    if total <= page_lines:
+        own = _listed(found.select("file", "strength", index_line().alias("line")))
+        return own.select(F.lit(name).alias("file"), F.concat(F.lit(head), "lines", F.lit("\n")).alias("text"))
+    rows = found.select("file", "strength", index_line("../trails/").alias("line")).repartitionByRange(-(-2 * total // page_lines), F.desc("strength"), F.asc("file"))
+    pages = rows.withColumn("page", F.spark_partition_id())
+    at = F.format_string("index/%06d.md", F.col("page") + 1)
+    files = _listed(pages, "page").select(at.alias("file"), F.concat(F.lit(f"> {UNTRUSTED}\n\n"), "lines", F.lit("\n")).alias("text"))
+    listed = pages.groupBy("page").agg(F.count("*").alias("n"), F.max("strength").alias("strength"))
+    listed = listed.select(at.alias("file"), "strength", F.concat(F.lit("- ["), "n", F.lit(" notes, strength up to "), _number(F.col("strength")), F.lit("]("), at, F.lit(")")).alias("line"), "page")
+    links = listed.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line"))), lambda x: x["line"]), "\n").alias("lines"))  # a row a page
+    return files.unionByName(links.select(F.lit(name).alias("file"), F.concat(F.lit(head), "lines", F.lit("\n")).alias("text")))
+
+
+def write_export(hits: DataFrame, folder: str, skill: bool = False, page_lines: int = PAGE_LINES) -> None:
+    """folder/trails/<file>.md for each entry that states a problem, and the index that links to them, beside trails. Tasks write
+    their rows' files one after the other; a task that runs again writes the same. Files of other names are left alone."""
     found = notes(hits)
-    found.select("text", F.col("file").alias("note")).write.mode("overwrite").partitionBy("note").option("lineSep", "\n").text(f"{folder}/trails")
-    spark = hits.sparkSession
-    head = spark.createDataFrame([(-1, f"{SKILL if skill else README}\n\n> {UNTRUSTED}\n")], "place long, line string")
-    whole = head.unionByName(index_lines(found))
-    whole.orderBy("place").select("line").write.mode("overwrite").text(f"{folder}/index")
+    write_files(found.select(F.concat(F.lit("trails/"), "file").alias("file"), "text"), folder)
+    write_files(index_files(found.drop("text"), skill, page_lines), folder)
 
 
 def message_without_type(error_type: Column, message: Column) -> Column:

@@ -27,15 +27,20 @@ START_SCORE, START_OVERLAP = 0.9, 0.6
 def exact_hits(queries: DataFrame, entries: DataFrame, key: str = "fp", most: int = PER_ANSWER) -> DataFrame:
     """The strongest entries of each query's key, of at most PER_KEY a key. Names, where both sides have them, must not conflict.
 
-    queries: query_id, key[, names]; entries: entry_id, key, strength[, names]. The cap per key bounds a hot key's rows
-    before the join, so no key makes more than PER_KEY rows a query."""
+    queries: query_id, key[, names]; entries: entry_id, key, strength[, names]. A key's entries, PER_KEY at most, are one row in
+    their order: so a query's answer is a part of it, nothing is ranked after the join, and of a key that very many queries
+    share the join's side of queries can be split. Rows without a key have no hits."""
     strongest = (F.desc("strength"), F.asc("entry_id"))
-    capped = entries.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*strongest))).where(F.col("n") <= PER_KEY).drop("n")
+    capped = entries.where(F.col(key).isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*strongest))).where(F.col("n") <= PER_KEY)
     capped = capped.withColumnRenamed("names", "entry_names") if "names" in capped.columns else capped
-    hits = queries.join(capped, key)
+    others = [c for c in capped.columns if c not in (key, "n")]
+    lists = capped.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", *others))).alias("entries"))
+    hits = queries.join(lists, key)
+    found = F.col("entries")
     if "names" in queries.columns and "entry_names" in capped.columns:
-        hits = hits.where(~names_conflict(F.col("names"), F.col("entry_names")))
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*strongest))).where(F.col("rank") <= most)
+        found = F.filter(found, lambda e: ~names_conflict(F.col("names"), e["entry_names"]))
+    hits = hits.select(*queries.columns, F.posexplode(F.slice(found, 1, most)).alias("at", "entry"))
+    hits = hits.select(*queries.columns, *(F.col(f"entry.{c}") for c in others), (F.col("at") + 1).alias("rank"))
     return hits.withColumns({"via": F.lit("fingerprint"), "score": F.lit(1.0)})
 
 

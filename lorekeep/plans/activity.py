@@ -67,15 +67,15 @@ def served_entries(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT doc_id, left(text, 400) AS q, list_distinct(list_filter(regexp_split_to_array(lower(left(text, 400)), '[^a-z0-9_.]+'), lambda w: length(w) >= 4)) AS a FROM documents),
-b AS (SELECT doc_id - 1 AS doc_id, list_distinct(list_filter(regexp_split_to_array(lower(left(text, 400)), '[^a-z0-9_.]+'), lambda w: length(w) >= 4)) AS b FROM documents),
+WITH w AS (SELECT doc_id, text AS q, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_.]+'), lambda w: length(w) >= 4)) AS a FROM documents),
+b AS (SELECT doc_id - 1 AS doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_.]+'), lambda w: length(w) >= 4)) AS b FROM documents),
 c AS (SELECT w.doc_id, q, list_filter(a, lambda x: NOT list_contains(%(common)s, x)) AS a, list_filter(b, lambda x: NOT list_contains(%(common)s, x)) AS b FROM w JOIN b USING (doc_id)),
 n AS (SELECT doc_id, q, len(list_intersect(a, b)) AS n, len(list_distinct(list_concat(a, b))) AS u, len(a) AS la, len(b) AS lb FROM c)
 SELECT doc_id, n > 0 AND NOT (regexp_matches(q, '[:''"`]') AND n * 2 >= u - n AND la > n AND lb > n) AS same FROM n
 """ % {"common": "[" + ", ".join(f"'{w}'" for w in search.COMMON_WORDS) + "]"})
 def same_subject(spark, sf_dir):
-    """Each document's first lines against the next one's, as a query against a candidate."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("q"))
+    """Each document's whole text against the next one's, as a query against a candidate."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("q"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("q").alias("e"))
     return docs.join(other, "doc_id").select("doc_id", search.about_the_same(F.col("q"), F.col("e"), F.lit(0.5)).alias("same"))
 
@@ -93,8 +93,7 @@ _SLUG = "regexp_replace(left(regexp_replace(regexp_replace(lower(p_name || ': si
 @query(f"SELECT {_SLUG} AS file, p_name || ': size ' || p_size AS title, '- [' || p_name || ': size ' || p_size || '](trails/' || {_SLUG} || ') (strength ' || (p_size / 100.0)::DOUBLE || ')' AS line FROM part")
 def export_index(spark, sf_dir):
     """Parts as entries: the index of their notes."""
-    found = rendering.notes(_parts(spark, sf_dir))
-    return found.join(rendering.index_lines(found).select("line", F.regexp_extract("line", r"\(trails/([^)]*)\)", 1).alias("file")), "file").select("file", "title", "line")
+    return rendering.notes(_parts(spark, sf_dir)).select("file", "title", rendering.index_line().alias("line"))
 
 
 def _parts(spark, sf_dir: str) -> DataFrame:

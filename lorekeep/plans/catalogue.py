@@ -258,17 +258,44 @@ def compact_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", lines.compact(v).alias("price"))
 
 
-_FP_CORE = "lower(url)"
-for _pattern, _to in (error_keys.RULES[0:5] + error_keys.RULES[9:12]):
+#: Pieces of an order's error line, one or more for each rule: which orders have it, and what it reads in SQL.
+_PIECES = [
+    ("true", "o_orderpriority || ' of c' || o_custkey"),
+    ("o_orderkey % 2 = 0", "'see HTTPS://' || 'c' || o_custkey || '/' || o_orderkey || '?x=1'"),
+    ("o_orderkey % 3 = 0", "'id ' || left(md5((o_orderkey * 7919 + o_custkey)::VARCHAR), 8) || '-' || substr(md5((o_orderkey * 7919 + o_custkey)::VARCHAR), 9, 4) || '-' || substr(md5((o_orderkey * 7919 + o_custkey)::VARCHAR), 13, 4) || '-' || substr(md5((o_orderkey * 7919 + o_custkey)::VARCHAR), 17, 4) || '-' || substr(md5((o_orderkey * 7919 + o_custkey)::VARCHAR), 21, 12)"),
+    ("o_orderkey % 3 = 1", "'at 0x' || lower(to_hex(o_orderkey))"),
+    ("o_orderkey % 5 < 2", "left(md5((o_orderkey * 7919 + o_custkey)::VARCHAR), 16)"),
+    ("o_orderkey % 4 = 1", "'from 10.' || (o_custkey % 256) || '.' || (o_orderkey % 256) || '.7:' || (8000 + o_orderkey % 100)"),
+    ("o_orderkey % 7 = 2", r"'in D:\Work\' || 'c' || o_custkey || '\a.py'"),
+    ("o_orderkey % 2 = 1", "'Line ' || (o_orderkey % 900) || ', col:' || (o_orderkey % 80) || ':' || (o_orderkey % 7)"),
+    ("o_orderkey % 5 > 2", "'took ' || floor(o_totalprice)::BIGINT || chr(9) || 'ms'"),
+]
+
+
+def _error_line() -> Column:
+    clerk = F.concat(F.lit("c"), "o_custkey")
+    k, md5 = F.col("o_orderkey"), F.md5((F.col("o_orderkey") * 7919 + F.col("o_custkey")).cast("string"))
+    dashed = F.concat_ws("-", *(F.substring(md5, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    pieces = [
+        text(F.col("o_orderpriority"), " of ", clerk), text("see HTTPS://", clerk, "/", k, "?x=1"), text("id ", dashed), text("at 0x", F.lower(F.hex(k))), F.substring(md5, 1, 16),
+        text("from 10.", F.col("o_custkey") % 256, ".", k % 256, ".7:", 8000 + k % 100), text("in D:\\Work\\", clerk, "\\a.py"),
+        text("Line ", k % 900, ", col:", k % 80, ":", k % 7), text("took ", F.floor("o_totalprice"), "\tms"),
+    ]
+    return F.concat_ws(" ", *(F.when(F.expr(when), piece) for (when, _), piece in zip(_PIECES, pieces, strict=True)))
+
+
+_PLAIN_RULES = error_keys.RULES[0:6] + error_keys.RULES[9:12]
+_FP_CORE = "lower(concat_ws(' ', " + ", ".join(f"CASE WHEN {when} THEN {sql} END" for when, sql in _PIECES) + "))"
+for _pattern, _to in _PLAIN_RULES:
     _FP_CORE = f"regexp_replace({_FP_CORE}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{_to}', 'g')"
 _FP_CORE = rf"left(trim(regexp_replace({_FP_CORE}, '\s+', ' ', 'g')), 300)"
 
 
-@query(f"SELECT page_id, {_FP_CORE} AS normalized, 'fp2_' || left(sha256({_FP_CORE}), 16) AS fingerprint FROM pages WHERE regexp_matches(url, '^[\\x00-\\x7f]*$')")
+@query(f"SELECT o_orderkey, n AS normalized, 'fp2_' || left(sha256(n), 16) AS fingerprint FROM (SELECT o_orderkey, {_FP_CORE} AS n FROM orders)")
 def fp_core(spark, sf_dir):
-    """The rules without look-around, on ASCII urls."""
-    core = error_keys._volatile(F.lower("url"), error_keys.RULES[0:5] + error_keys.RULES[9:12])
-    rows = table(spark, sf_dir, "pages").where(F.col("url").rlike(r"^[\x00-\x7f]*$")).select("page_id", core.alias("normalized"))
+    """The rules without look-around, on a line of each order's columns that reaches them; the rules in SQL give the same."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", error_keys._volatile(F.lower(_error_line()), _PLAIN_RULES).alias("normalized"))
     return rows.withColumn("fingerprint", F.concat(F.lit("fp2_"), F.substring(F.sha2("normalized", 256), 1, 16)))
 
 
@@ -331,17 +358,20 @@ def url_names(spark, sf_dir):
     return rows.where("name IS NOT NULL AND NOT name RLIKE '[.]htm$'")
 
 
-@query("""
-SELECT a.page_id, b.page_id AS other_id, NOT (a.host = b.host) AS conflict FROM (SELECT page_id, regexp_extract(url, '//([^/?#:]+)', 1) AS host FROM pages WHERE page_id % 50 = 0) a
-JOIN (SELECT page_id, regexp_extract(url, '//([^/?#:]+)', 1) AS host FROM pages) b ON b.page_id = a.page_id + 1
+_NAMED = r"SELECT page_id, regexp_extract(lower(url), '//([^/?#:]+)', 1) AS host, (page_id // 3) % 7 AS k FROM pages"
+
+
+@query(rf"""
+WITH n AS (SELECT *, regexp_matches(host, '\.[a-z]{{2,}}$') AS good FROM ({_NAMED}))
+SELECT a.page_id, a.good AND b.good AND a.k <> b.k AS conflict FROM n a JOIN n b ON b.page_id = a.page_id + 1
 """)
 def names_conflict(spark, sf_dir):
-    """Whether neighbours name different hosts, each as host/page."""
-    host = F.concat(F.lit("cannot reach "), F.regexp_extract("url", "//([^/?#:]+)", 1))
-    rows = table(spark, sf_dir, "pages").select("page_id", names.placeholder_names(F.concat(host, F.lit("/"))).alias("x"), F.array(F.regexp_extract("url", "//([^/?#:]+)", 1)).alias("found"))
-    left = rows.where("page_id % 50 = 0").select("page_id", "found")
-    right = rows.select((F.col("page_id") - 1).alias("page_id"), F.col("page_id").alias("other_id"), F.col("found").alias("have"))
-    return left.join(right, "page_id").select("page_id", "other_id", names.names_conflict(F.col("found"), F.col("have")).alias("conflict"))
+    """Each page's message against the next one's: both name a host with a number, and share it if host and number or the number agree."""
+    host = F.regexp_extract(F.lower("url"), "//([^/?#:]+)", 1)
+    text = F.concat(F.lit("cannot reach '"), host, F.lit("/"), (F.floor(F.col("page_id") / 3) % 7).cast("string"), F.lit("', giving up"))
+    rows = table(spark, sf_dir, "pages").select("page_id", names.placeholder_names(text).alias("asked"))
+    have = rows.select((F.col("page_id") - 1).alias("page_id"), F.col("asked").alias("have"))
+    return rows.join(have, "page_id").select("page_id", names.names_conflict(F.col("asked"), F.col("have")).alias("conflict"))
 
 
 def _cosine_sql(least: str, extra: str) -> str:
@@ -375,45 +405,47 @@ def strong_hits(spark, sf_dir):
     return semantic_topk(spark, sf_dir).select("query_id", "entry_id", search.strong(F.lit("semantic"), F.col("score")).alias("strong"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, sha256(left(text, 200)) AS key, n_chars FROM documents),
-q AS (SELECT doc_id AS query_id, key FROM d WHERE doc_id % 10 = 0),
-c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS n FROM d),
-h AS (SELECT query_id, doc_id AS entry_id, n_chars, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS rank FROM q JOIN c USING (key) WHERE n <= 64)
-SELECT query_id, entry_id, rank FROM h WHERE rank <= 5
-""")
+_SAME_TEXT = """
+WITH d AS (SELECT doc_id, sha256(text) AS key, n_chars FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS n FROM d)
+SELECT d.doc_id AS query_id, c.doc_id AS entry_id, c.n AS rank FROM d JOIN c USING (key) WHERE n <= {most}
+"""
+
+
+def _same_text(spark, sf_dir, most: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2("text", 256).alias("fp"), F.col("n_chars").alias("strength"))
+    return search.exact_hits(docs.select(F.col("entry_id").alias("query_id"), "fp"), docs, most=most).select("query_id", "entry_id", "rank")
+
+
+@query(_SAME_TEXT.format(most=search.PER_KEY))
 def exact_lookup_cap(spark, sf_dir):
-    """Entries by key, at most 64 a key and 5 an answer. Its SQL fixes keys of 200 characters and a tenth of the documents as
-    queries; exact_lookup has the whole texts and all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring("text", 1, 200), 256).alias("fp"), "n_chars")
-    asked = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "fp")
-    return search.exact_hits(asked, docs.select(F.col("doc_id").alias("entry_id"), "fp", F.col("n_chars").alias("strength"))).select("query_id", "entry_id", "rank")
+    """All entries of each document's whole text that the cap of 64 a key lets through."""
+    return _same_text(spark, sf_dir, search.PER_KEY)
+
+
+@query(_SAME_TEXT.format(most=search.PER_ANSWER))
+def exact_lookup(spark, sf_dir):
+    """Each document's entries of the same whole text (itself among them), at most 64 a key and 5 an answer."""
+    return _same_text(spark, sf_dir, search.PER_ANSWER)
 
 
 @query("""
-WITH d AS (SELECT doc_id, sha256(left(text, 200)) AS key FROM documents), q AS (SELECT doc_id AS query_id, key FROM d WHERE doc_id % 10 = 0),
-e AS (SELECT query_id, d.doc_id AS entry_id, row_number() OVER (PARTITION BY query_id ORDER BY d.doc_id) AS rank FROM q JOIN d USING (key) WHERE d.doc_id <> query_id),
-r AS (SELECT q.query_id, d.doc_id AS entry_id, 1 AS rank FROM q JOIN documents d ON d.doc_id = q.query_id + 1 WHERE query_id NOT IN (SELECT query_id FROM e))
+WITH d AS (SELECT doc_id, sha256(text) AS key FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS n FROM d WHERE key IS NOT NULL),
+e AS (SELECT d.doc_id AS query_id, c.doc_id AS entry_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY c.doc_id) AS rank FROM d JOIN c USING (key) WHERE n <= 64 AND c.doc_id <> d.doc_id),
+r AS (SELECT q.doc_id AS query_id, d.doc_id AS entry_id, 1 AS rank FROM d q JOIN d ON d.doc_id = q.doc_id + 1 WHERE q.doc_id NOT IN (SELECT query_id FROM e))
 SELECT query_id, entry_id, rank, 'fingerprint' AS via FROM e WHERE rank <= 5 UNION ALL SELECT query_id, entry_id, rank, 'semantic' FROM r
 """)
 def search_fallback(spark, sf_dir):
-    """Exact hits other than oneself; where there are none, a stand-in for the second tier, fixed by its SQL: the next document.
-    search_tiers has the whole texts and the tier by vectors."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2(F.substring("text", 1, 200), 256).alias("fp"), F.lit(0).alias("strength"))
-    asked = docs.where("entry_id % 10 = 0").select(F.col("entry_id").alias("query_id"), "fp")
+    """For each document, exact hits by the whole text other than oneself; where there are none, a stand-in for the second tier, fixed by
+    its SQL: the next document. search_tiers has the tier by vectors."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2("text", 256).alias("fp"), F.lit(0).alias("strength"))
+    asked = docs.select(F.col("entry_id").alias("query_id"), "fp")
     exact = search.exact_hits(asked, docs, most=search.PER_KEY).where("entry_id <> query_id")
     exact = strength.top_per_key(exact.drop("rank"), "query_id", 5, F.asc("entry_id"))
     nearest = docs.select((F.col("entry_id") - 1).alias("query_id"), "entry_id", F.lit(1).alias("rank"), F.lit("semantic").alias("via"), F.lit(0.5).alias("score"))
     return search.with_fallback(asked, exact, nearest).select("query_id", "entry_id", "rank", "via")
 
 
-@query()
-def exact_lookup(spark, sf_dir):
-    """Each document's entries of the same whole text (itself among them), at most 64 a key and 5 an answer."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.sha2("text", 256).alias("fp"), F.col("n_chars").alias("strength"))
-    return search.exact_hits(docs.select(F.col("entry_id").alias("query_id"), "fp"), docs).select("query_id", "entry_id", "rank")
-
-
 @query()
 def search_tiers(spark, sf_dir):
     """Both tiers for the stated queries, doc_id % 50 = 0: exact hits by the whole text, else the nearest by the vector of

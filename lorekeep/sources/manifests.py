@@ -80,7 +80,8 @@ def _pyproject(text: Column) -> Column:
 
 def _locked(text: Column) -> Column:
     """array of (normal name, version) of the packages of a lock file."""
-    blocks = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), LOCKED_BLOCK), 2, 1_000_000)
+    parts = F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), LOCKED_BLOCK)
+    blocks = F.slice(parts, F.lit(2), F.size(parts))
     one = lambda b: _pair(normal_name(F.regexp_extract(b, LOCKED_NAME, 1)), F.regexp_extract(b, LOCKED_VERSION, 1))
     return F.filter(F.transform(blocks, one), lambda p: (p["name"] != "") & (p["version"] != ""))
 

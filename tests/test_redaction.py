@@ -1,8 +1,10 @@
 """Redaction: rules run where their literals are, with the results of all rules on all texts; nothing leaks by case or place."""
 
+import datetime as dt
 import hashlib
 import random
 import re
+from decimal import Decimal
 
 import pytest
 from lorekeep.functions import redaction
@@ -73,3 +75,51 @@ def test_keys_of_documents(spark, sf_dir):
 @pytest.mark.parametrize("text", ["contact: nobody", "org = \"Acme Ltd\"", "x" * 20_000, "a." * 8_000 + "corp"])
 def test_hostile_and_plain_texts(text):
     assert redaction.redact_text(text) == by_every_rule(text)
+
+
+def plain_names(text):
+    """Word after word: which runs of capitalised words stand one space apart, less a sentence's first word."""
+    found, run, end = [], [], None
+    for m in [*re.finditer(r"[^\W\d_]+", text), None]:
+        capital = m is not None and len(m[0]) > 1 and m[0][0].lower() != m[0][0]
+        if not (capital and end is not None and text[end : m.start()] == " "):
+            if run:
+                before = text[: run[0].start()]
+                first = before == "" or re.search(r"[.!?:]\s+\Z|\n\s*\Z", before)
+                own = run[1:] if first else run
+                if len(own) > 1:
+                    found.append(text[own[0].start() : own[-1].end()])
+            run = []
+        run = [*run, m] if capital else run
+        end = m.end() if capital else None
+    return list(dict.fromkeys(found))[:10]
+
+
+@pytest.mark.parametrize("gap", [1, 10, 199, 200, 300, 5000])
+def test_names_after_any_white_space(gap):
+    assert redaction.names_in(["x. " + " " * gap + "Acme Data Systems"]) == ["Data Systems"]
+    assert redaction.names_in(["x " + " " * gap + "Acme Data Systems"]) == ["Acme Data Systems"]
+    assert redaction.names_in(["x" + "\n" + "\t" * gap + "Acme Data Systems"]) == ["Data Systems"]
+
+
+def test_names_by_plain_rules(spark, sf_dir):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["Ada ", "Byron", " ", ". ", "\n", "x ", "É", "Zoë Ann ", ": ", "a", "I "]) for _ in range(40)) for _ in range(800)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for text in texts:
+        assert redaction.names_in([text]) == plain_names(text), text
+
+
+def test_leaves_of_nested_values(spark):
+    """Strings are redacted wherever they stand; times, decimals, numbers, nulls and map keys stay what they are."""
+    secret, clean = "a.b@c.example", "<redacted:email>"
+    at = dt.datetime(2024, 1, 2, 3, 4, 5, 123456)
+    inner = "struct<t:string,at:timestamp,d:decimal(20,6),b:binary,n:array<string>>"
+    schema = f"id int, rows array<{inner}>, m map<string,{inner}>, deep array<array<map<string,string>>>, s struct<x:string,y:array<bigint>>, n array<bigint>"
+    item = lambda t, n: (t, at, Decimal("12345678901234.123456"), bytearray(b"\x00\xff"), n)
+    value = lambda t: ([item(t, [t, None]), None, item(None, None)], {secret: item(t, [])}, [[{secret: t, "k": None}], None, []], (t, [1 << 60]), [1 << 61, None])
+    rows = spark.createDataFrame([(1, *value(f"x {secret} y")), (2, None, None, None, None, None), (3, [], {}, [], None, [])], schema)
+    found = rows.select("id", *(redaction.redact_leaves(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields[1:]))
+    assert [f.dataType.simpleString() for f in found.schema.fields] == [f.dataType.simpleString() for f in rows.schema.fields]
+    expected = spark.createDataFrame([(1, *value(f"x {clean} y")), (2, None, None, None, None, None), (3, [], {}, [], None, [])], schema).collect()
+    assert found.orderBy("id").collect() == expected

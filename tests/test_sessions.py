@@ -46,7 +46,7 @@ PLAIN = {
     "interrupt": ([failure(0, "npm test", "x", interrupted=True)], []),
     "stopped": ([failure(i, "npm test", "Error: x", code=c) for i, c in enumerate((124, 130, 137, 143))], []),
     "no_line": ([failure(0, "cd /srv/app && ./check.sh", "src/a.java 0")], [("failed", "")]),
-    "tool_line": ([failure(0, "acmectl db migrate", "migrate: lock 'migrate' is held by ci-runner-17")], [("failed", "migrate: lock 'migrate' is held by ci-runner-17")]),
+    "tool_line": ([failure(0, "fontcache check serif", "fontcache: table 'serif' was built for another locale")], [("failed", "fontcache: table 'serif' was built for another locale")]),
     "usage": ([failure(0, "acmectl --verbos", "acmectl: unrecognized option '--verbos'")], []),
     "answer": ([failure(0, "kubectl diff -f d/", "diff -u x y"), failure(1, "kubectl diff -f d/", "error: no such type", code=2)], [("failed", "error: no such type")]),
     "condition": ([failure(0, "for b in a b; do [ $n -gt 1 ] && echo big; done", "b=9")], []),
