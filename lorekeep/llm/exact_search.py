@@ -4,7 +4,7 @@ Components are whole numbers. Rows with equal vectors are one class; of a class
 result, so no more of them are looked at, however many copies there are.
 
 1. File. Classes are dealt into slices. Of each dimension of a slice the values are parted into CELLS cells with about
-   as many values; a slice's approximation holds half a byte a component, and the lowest and the highest value of each cell.
+   as many values; a slice's approximation holds a byte a component, and the lowest and the highest value of each cell.
 2. Scan. Each group of distinct query vectors meets each slice: one product with the middles of the cells and one with
    their widths bound every score from below and above. A slice hands on what can be among the k + 1 best of the
    slice; of that, what can be among those of all slices remains.
@@ -34,7 +34,7 @@ from .common import dropped, kept, read_table
 TOP = 20
 SCALE = 64
 MOST = 1 << 24
-CELLS = 16
+CELLS = 64
 #: Classes of a slice and query vectors of a group, on average.
 SLICE, GROUP = 8_192, 512
 #: Exact vectors that a query reads at first.
@@ -62,11 +62,11 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def approximated(rows: pd.DataFrame) -> pd.DataFrame:
-    """A slice: its classes by their first key, cells of two components a byte, and the values that cells are bounded by."""
+    """A slice: its classes by their first key, a cell a component, and the values that cells are bounded by."""
     rows = rows.sort_values(["least", "c"])
     x = np.stack(rows["vec"].to_numpy()).astype(np.int64).reshape(len(rows), -1)
     n, d = x.shape
-    codes, bounds = np.zeros((n, d + d % 2), dtype=np.uint8), np.zeros((2, d, CELLS), dtype=np.int64)
+    codes, bounds = np.zeros((n, d), dtype=np.uint8), np.zeros((2, d, CELLS), dtype=np.int64)
     for i in range(d):
         column = np.sort(x[:, i])
         cuts = np.unique(column[np.arange(1, CELLS) * n // CELLS])
@@ -75,15 +75,13 @@ def approximated(rows: pd.DataFrame) -> pd.DataFrame:
         cell = np.minimum(np.arange(CELLS), len(cuts))
         bounds[0, i] = column[np.minimum(begun, n - 1)][cell]
         bounds[1, i] = column[np.concatenate([begun[1:], [n]])[cell] - 1]
-    packed = codes[:, 0::2] | codes[:, 1::2] << 4
-    return pd.DataFrame({"dims": [d], "slice": rows["slice"].iloc[:1].to_numpy(), "ids": [rows["c"].to_numpy()], "least": [rows["least"].to_numpy()], "cells": [packed.tobytes()], "bounds": [bounds.tobytes()]})
+    return pd.DataFrame({"dims": [d], "slice": rows["slice"].iloc[:1].to_numpy(), "ids": [rows["c"].to_numpy()], "least": [rows["least"].to_numpy()], "cells": [codes.tobytes()], "bounds": [bounds.tobytes()]})
 
 
 def bounded(queries: np.ndarray, cells: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Twice the lowest and twice the highest inner product that a query can have with a vector in these cells."""
     d = queries.shape[1]
-    codes = np.stack([cells & 15, cells >> 4], axis=2).reshape(len(cells), -1)[:, :d]
-    low, high = (b[np.arange(d), codes] for b in bounds)
+    low, high = (b[np.arange(d), cells] for b in bounds)
     largest = 2 * max(d, 1) * int(np.abs(queries).max(initial=1)) * 2 * int(np.abs(bounds).max(initial=1))
     kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64  # sums are whole in each
     middle = queries.astype(kind) @ (low + high).astype(kind).T
