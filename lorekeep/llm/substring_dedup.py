@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> t
 
 # --- Doubling over every position ------------------------------------------------------------------------------------
 # The plain method, for small corpora: each position's rank pair is sorted in every round. It moves a row a byte of text and
-# round, which README compares with the budget; remove_repeats takes it where asked.
+# round, which README compares with the budget; tests hold the other way's spans against it.
 
 _PAIRS = "row long, at long, first long, second long"
 
@@ -341,7 +341,8 @@ def _paired(offset: int) -> Callable:
 
 
 def _pairs(rows: pd.DataFrame, wanted: np.ndarray, offset: int) -> pd.DataFrame:
-    key = (rows["row"].to_numpy() << 28) + rows["at"].to_numpy()
+    _, number = np.unique(rows["row"].to_numpy(), return_inverse=True)  # of rows in order: any identifiers will do
+    key = (number << 40) + rows["at"].to_numpy()
     at = np.minimum(np.searchsorted(key, key + offset), len(key) - 1)
     good = wanted & (key[at] == key + offset)
     rank = rows["rank"].to_numpy()

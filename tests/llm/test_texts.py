@@ -139,6 +139,16 @@ def test_repeats_by_doubling_over_every_position(spark):
     assert spans_by_doubling(table.limit(0)).count() == 0
 
 
+def test_doubling_with_any_identifiers(spark):
+    """Identifiers as large as numbers get, of both signs: the spans are those of small ones."""
+    p, q = fixtures.text(31, 90), fixtures.text(32, 90)
+    texts = ["x " + p[:500] + " y", p[:400] + "z" + q[:300], q[:300] + " w", p[:450]]
+    plain = sorted(tuple(r) for r in spans_by_doubling(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect())
+    for ids in ([i << 36 for i in range(4)], [-(1 << 63), -1, 1 << 61, (1 << 63) - 1]):
+        found = spans_by_doubling(spark.createDataFrame(list(zip(ids, texts, strict=True)), "row long, text string")).collect()
+        assert sorted((ids.index(r.row), r.start, r.stop) for r in found) == plain and plain
+
+
 def test_repeats_of_few_letters(spark):
     """Periodic texts, repeats at both ends, overlaps, and repeats of exactly one byte less than counts."""
     p, q = fixtures.text(31, 90), fixtures.text(32, 90)
