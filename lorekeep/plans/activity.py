@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import lines, versions
-from ..operators import publish, rendering, search, stats
+from ..operators import publish, rendering, search, stats, vector_index
 from ..sources import manifests
-from ..streaming import limits
+from ..sources.folders import shared_folder
+from ..streaming import effort_join, limits, sessions, timers
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -277,3 +280,58 @@ def safe_texts(spark, sf_dir):
         "o_orderkey", lines.safe_id(F.concat(F.lit("abc"), (key % 10).cast("string"), F.lit("-\nfz!"))).alias("id"), lines.safe_fingerprint(fingerprint).alias("fingerprint"),
         lines.ago(then, F.timestamp_seconds(F.lit(10**9))).alias("since"), line.alias("line"),
     )
+
+
+# --- Sessions by the clock, records by their reports, an index that is stored ----------------------------------------
+
+_LINE = "'Error: bad ' || chr((97 + k % 7)::INT)"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS fails, CASE WHEN event_type = 'error' THEN {_LINE} ELSE '' END AS line FROM (SELECT *, {_K} AS k FROM events) WHERE event_type IN ('error', 'purchase')),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, fails DESC, line) AS i FROM e),
+c AS (SELECT user_id, i, ms, CASE WHEN fails THEN ms END AS since, CASE WHEN fails THEN line END AS problem, NULL::BIGINT AS solved, NULL::VARCHAR AS solved_line FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.i, o.ms,
+    CASE WHEN o.fails AND c.since IS NOT NULL AND o.ms < c.since + 43200000 THEN c.since WHEN o.fails THEN o.ms END,
+    CASE WHEN o.fails AND c.since IS NOT NULL AND o.ms < c.since + 43200000 THEN c.problem WHEN o.fails THEN o.line END,
+    CASE WHEN NOT o.fails AND o.ms < c.since + 43200000 THEN c.since END, CASE WHEN NOT o.fails AND o.ms < c.since + 43200000 THEN c.problem END
+  FROM c JOIN o ON o.user_id = c.user_id AND o.i = c.i + 1),
+s AS (SELECT DISTINCT user_id, since, problem FROM c WHERE since = ms)
+SELECT user_id::VARCHAR AS session, since, problem AS line, since + 43200000 AS at_ms, 'problem_expired' AS say FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = s.user_id AND c.solved = s.since)
+UNION ALL SELECT user_id::VARCHAR, solved, solved_line, ms, 'aided' FROM c WHERE solved IS NOT NULL
+""")
+def problems_by_the_clock(spark, sf_dir):
+    """Errors open a user's problem for twelve hours; a purchase, as a report that an entry helped, solves it; else the clock ends it."""
+    events, k = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')"), _k().cast("int")
+    error = F.col("event_type") == "error"
+    none = lambda kind: F.lit(None).cast(kind)
+    raw = events.select(
+        F.col("user_id").cast("string").alias("session"), F.col("ts").alias("at"), F.when(error, "failure").otherwise("success").alias("event"), F.when(error, "Bash").otherwise("a_report").alias("tool"),
+        F.when(error, "make all").alias("command"), none("string").alias("response"), F.when(error, F.concat(F.lit("Exit code 1\nError: bad "), F.char(F.lit(97) + k % F.lit(7)))).alias("error"),
+        none("int").alias("exit_code"), F.lit(False).alias("interrupted"), F.when(~error, "worked").alias("outcome"), F.when(~error, F.lit("0b5e6c1a-2f3d-4e5f-8a9b-0c1d2e3f4a5b")).alias("entry_id"),
+    )
+    said = timers.replayed_on_time(raw, sessions.Policy(open_for=12 * 3_600_000))
+    return said.where("say IN ('problem_expired', 'aided')").select("session", "since", "line", F.col("at").alias("at_ms"), "say")
+
+
+@query(f"""
+WITH e AS (SELECT *, {_K} % 10 AS trail FROM events)
+SELECT event_id AS id, EXISTS (SELECT 1 FROM e r WHERE r.event_type = 'purchase' AND r.event_id % 3 > 0 AND r.user_id = e.user_id AND r.trail = e.trail AND r.ts <= e.ts AND r.ts > e.ts - INTERVAL 2 DAY) AS reported FROM e WHERE event_type = 'click'
+""")
+def vouched_records(spark, sf_dir):
+    """Clicks as records of effort, purchases as reports; every third report is on an entry of one's own and vouches for nothing."""
+    events = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("id"), F.col("user_id").alias("person"), (_k() % 10).alias("trail_id"), F.col("ts").alias("at"))
+    reports = events.where("event_type = 'purchase'").select("person", "trail_id", F.lit("worked").alias("outcome"), F.when(F.col("id") % 3 == 0, F.col("person")).otherwise(-1).alias("author"), "at")
+    return effort_join.vouched(events.where("event_type = 'click'"), reports).select("id", "reported")
+
+
+@query()
+def indexed_neighbours(spark, sf_dir):
+    """For entries whose number is divisible by fifty, the five nearest others from a stored index of all; tests measure what it misses."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"))
+    path = shared_folder(spark, "vector-index")
+    vector_index.create(vectors, path)
+    asked = vectors.where("entry_id % 50 = 0").select(F.col("entry_id").alias("query_id"), "vec")
+    hits = vector_index.probe(asked, path, k=6, least=0.2).where("query_id <> entry_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return hits.withColumn("rank", rank).where("rank <= 5").select("query_id", "entry_id", F.round("score", 6).alias("score"), "rank")
