@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import lines, versions
-from ..operators import publish, rendering, search, stats, vector_index
+from ..operators import publish, rendering, rollups, search, stats, vector_index
 from ..sources import manifests
 from ..sources.folders import shared_folder
 from ..streaming import effort_join, limits, sessions, timers
@@ -335,3 +335,28 @@ def indexed_neighbours(spark, sf_dir):
     hits = vector_index.probe(asked, path, k=6, least=0.2).where("query_id <> entry_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return hits.withColumn("rank", rank).where("rank <= 5").select("query_id", "entry_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _keyed_events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("agent"), F.floor(F.col("value") * 100).cast("long").alias("cents"))
+
+
+@query("SELECT ts::DATE AS day, event_type AS key, count(*) AS n, sum(floor(value * 100)::BIGINT)::BIGINT AS cents, count(DISTINCT CASE WHEN user_id % 5 < 3 THEN user_id END) AS agents FROM events GROUP BY ALL")
+def daily_by_batches(spark, sf_dir):
+    """Days from seven stored batches, two of which are written twice; users of the last two fifths are nobody."""
+    path, events = shared_folder(spark, "daily"), _keyed_events(spark, sf_dir)
+    events = events.withColumn("agent", F.when(F.col("agent").cast("long") % 5 < 3, F.col("agent")))
+    for batch in (0, 1, 2, 3, 4, 5, 6, 2, 0):
+        rollups.write_batch(events.where(F.col("event_id") % 7 == batch), path, batch, ("cents",))
+    days = rollups.daily(spark, path, ("cents",))
+    return days.select("day", "key", "n", "cents", rollups.agents_of().alias("agents"))
+
+
+@query("""
+WITH e AS (SELECT ts::DATE AS day, event_type AS key, user_id FROM events), d AS (SELECT DISTINCT day, key FROM e)
+SELECT d.day, d.key, count(DISTINCT e.user_id) AS agents FROM d JOIN e ON e.key = d.key AND e.day <= d.day AND e.day > d.day - 10 GROUP BY ALL
+""")
+def agents_of_ten_days(spark, sf_dir):
+    """Agents of each kind of event in the ten days up to each; a day has fewer than the list holds, so all are exact."""
+    days = rollups.merged(rollups.partials(_keyed_events(spark, sf_dir)))
+    return rollups.agents_within(days, 10).select("day", "key", "agents")
