@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.versions import canonical_runtime
+
 PAGE = 50
 SUMMARY_CHARS = 20
 LOGS_CHARS = 16_000
@@ -31,6 +33,22 @@ def feed_page(rows: DataFrame, sort: str, key: str, after: DataFrame | None = No
     return rows.orderBy(F.desc(sort), F.asc(key)).limit(min(size, PAGE))
 
 
+#: What a feed may be sorted by, largest first, and the column that says it.
+SORTS = {"strength": "strength", "recent": "last_success_at", "followed": "followed", "new": "created_at"}
+
+
+def feed(entries: DataFrame, sort: str, key: str = "entry_id", runtime: str | None = None, category: str | None = None, after: DataFrame | None = None, size: int = PAGE) -> DataFrame:
+    """A page of the feed: strongest, last confirmed, most followed (whatever came of it) or newest first; of one runtime by any of its
+    names, and of one category. entries: key, strength, last_success_at, created_at, worked, partially_worked, failed[, runtime, category]."""
+    counts = [F.coalesce(c, F.lit(0)) for c in ("worked", "partially_worked", "failed")]
+    rows = entries.withColumn("followed", counts[0] + counts[1] + counts[2])
+    if runtime is not None:
+        rows = rows.where(canonical_runtime(F.col("runtime")) == canonical_runtime(F.lit(runtime)))
+    if category is not None:
+        rows = rows.where(F.col("category") == category)
+    return feed_page(rows, SORTS[sort], key, after, size)
+
+
 def assembled(steps: DataFrame, least_failures: int = 1) -> DataFrame:
     """Per session: the last failure is the error, the first a dead end, the last fix the solution; ready if both are there.
 
@@ -46,6 +64,35 @@ def assembled(steps: DataFrame, least_failures: int = 1) -> DataFrame:
     return found.withColumns({"error_message": F.substring("error", 1, 1000), "ready": ready, "summary": F.rpad(F.substring("error", 1, 280), F.greatest(F.length(F.substring("error", 1, 280)), F.lit(SUMMARY_CHARS)), ".")})
 
 
+#: Fixed values of the format: characters of what was tried, and dead ends of one entry.
+APPROACH_CHARS, MOST_DEAD_ENDS = 500, 20
+
+
+def dead_ends(steps: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """session, n (from 1), approach, why_it_failed: all that did not work in a session, in order: each failure but the last, which is the
+    problem itself, then each entry that was followed and did not help, or only partly.
+
+    steps: session, pos, kind (failure, fix or other), approach, text (the failure's message); tried: session, pos, entry_id, outcome,
+    notes. A row for each, so a session of any length is only sorted."""
+    order = Window.partitionBy("session").orderBy("pos")
+    failures = steps.where("kind = 'failure'").withColumn("next", F.lead("pos").over(order)).where("next IS NOT NULL")
+    rows = failures.select("session", F.lit(0).alias("part"), "pos", F.substring(F.coalesce("approach", F.lit("")), 1, APPROACH_CHARS).alias("approach"), F.coalesce("text", F.lit("")).alias("why_it_failed"))
+    if tried is not None:
+        plain = F.when(F.col("outcome") == "failed", "it did not work in this environment").otherwise("it only partly worked")
+        why = F.substring(F.coalesce(F.nullif("notes", F.lit("")), plain), 1, APPROACH_CHARS)
+        followed = tried.where(F.col("outcome").isin("failed", "partially_worked"))
+        rows = rows.unionByName(followed.select("session", F.lit(1).alias("part"), "pos", F.concat(F.lit("Followed entry "), F.col("entry_id").cast("string")).alias("approach"), why.alias("why_it_failed")))
+    n = F.row_number().over(Window.partitionBy("session").orderBy("part", "pos"))
+    return rows.select("session", n.alias("n"), "approach", "why_it_failed")
+
+
+def with_dead_ends(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries by session with failed_approaches: the first of their dead ends, as many as the format takes."""
+    own = found.where(f"n <= {MOST_DEAD_ENDS}").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("n", "approach", "why_it_failed"))).alias("found"))
+    listed = F.transform(F.coalesce("found", F.array()), lambda x: F.struct(x["approach"].alias("approach"), x["why_it_failed"].alias("why_it_failed")))
+    return entries.join(own, "session", "left").withColumn("failed_approaches", F.coalesce(listed, F.array().cast("array<struct<approach:string,why_it_failed:string>>"))).drop("found")
+
+
 def gate(failures: Column, verified: Column, covered: Column, least: int = 1) -> Column:
     """Whether a draft may be offered: enough failed attempts, verified, and no entry that works covers it."""
     return (failures >= least) & F.coalesce(verified, F.lit(False)) & ~F.coalesce(covered, F.lit(False))

@@ -181,8 +181,11 @@ def successors(edges: DataFrame, strength: DataFrame, most: int = 3) -> DataFram
 
 
 def expand_successors(hits: DataFrame, edges: DataFrame) -> DataFrame:
-    """Keys of old entries find their successors too, one hop: hits (query_id, entry_id) and those of what amends them."""
-    more = hits.join(edges.select(F.col("amends").alias("entry_id"), F.col("entry_id").alias("newer")), "entry_id").select("query_id", F.col("newer").alias("entry_id"))
+    """Keys of old entries find their successors too, one hop: hits (query_id, entry_id) and those of what amends them, if it comes from the
+    old one's author or is about the same error by the check of a search. edges: entry_id, author, text, amends, old_author, old_text."""
+    same = F.coalesce(F.col("author") == F.col("old_author"), F.lit(False)) | about_the_same(F.col("old_text"), F.col("text"), F.lit(0.0))
+    newer = edges.where(same).select(F.col("amends").alias("entry_id"), F.col("entry_id").alias("newer")).distinct()
+    more = hits.join(newer, "entry_id").select("query_id", F.col("newer").alias("entry_id"))
     return hits.select("query_id", "entry_id").unionByName(more).distinct()
 
 

@@ -360,3 +360,53 @@ def agents_of_ten_days(spark, sf_dir):
     """Agents of each kind of event in the ten days up to each; a day has fewer than the list holds, so all are exact."""
     days = rollups.merged(rollups.partials(_keyed_events(spark, sf_dir)))
     return rollups.agents_within(days, 10).select("day", "key", "agents")
+
+
+# --- The write path and the feed ---------------------------------------------------------------------------------------
+
+
+@query("""
+WITH f AS (SELECT conv_id AS session, 0 AS part, turn AS pos, left(coalesce('user: ' || text, ''), 500) AS approach, coalesce(text, '') AS why_it_failed, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'user'),
+t AS (SELECT conv_id AS session, 1 AS part, turn AS pos, 'Followed entry ' || turn AS approach,
+  left(coalesce(nullif(CASE WHEN turn % 8 = 1 THEN text END, ''), CASE WHEN turn % 3 = 0 THEN 'it did not work in this environment' ELSE 'it only partly worked' END), 500) AS why_it_failed FROM conversations WHERE role = 'assistant' AND turn % 3 < 2)
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY part, pos) AS n, approach, why_it_failed FROM (SELECT * EXCLUDE next FROM f WHERE next IS NOT NULL UNION ALL SELECT * FROM t)
+""")
+def dead_ends(spark, sf_dir):
+    """A conversation's turns of the user as failures, the assistant's as entries that were followed, worked in a third of cases."""
+    rows = table(spark, sf_dir, "conversations")
+    steps = rows.where("role = 'user'").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.lit("failure").alias("kind"), F.concat(F.lit("user: "), "text").alias("approach"), "text")
+    outcome = F.element_at(F.array(F.lit("failed"), F.lit("partially_worked"), F.lit("worked")), (F.col("turn") % 3 + 1).cast("int"))
+    tried = rows.where("role = 'assistant'").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.col("turn").alias("entry_id"), outcome.alias("outcome"), F.when(F.col("turn") % 8 == 1, F.col("text")).alias("notes"))
+    return publish.dead_ends(steps, tried)
+
+
+_FEED = "SELECT p_partkey AS entry_id, p_size / 100 AS strength, (p_partkey * 37) % 1000 AS last_success_at, (p_partkey * 91) % 997 AS created_at, p_size % 7 + p_partkey % 5 + p_size % 3 AS followed FROM part WHERE p_partkey % 4 < 2"
+
+
+@query(f"WITH e AS ({_FEED}) " + " UNION ALL ".join(f"SELECT '{s}' AS sort, entry_id FROM (SELECT entry_id FROM e ORDER BY {c} DESC, entry_id LIMIT 50)" for s, c in publish.SORTS.items()))
+def feed_sorts(spark, sf_dir):
+    """The first page of each of the four sorts, of entries whose runtime goes by one of a name's spellings."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    runtime = F.element_at(F.array(*map(F.lit, ("Node.js", "nodejs", "PY", "golang"))), (key % 4 + 1).cast("int"))
+    entries = table(spark, sf_dir, "part").select(
+        key.alias("entry_id"), (size / 100).alias("strength"), ((key * 37) % 1000).alias("last_success_at"), ((key * 91) % 997).alias("created_at"), (size % 7).alias("worked"), (key % 5).alias("partially_worked"), (size % 3).alias("failed"), runtime.alias("runtime"),
+    )
+    found = None
+    for sort in publish.SORTS:
+        page = publish.feed(entries, sort, runtime="node").select(F.lit(sort).alias("sort"), "entry_id")
+        found = page if found is None else found.unionByName(page)
+    return found
+
+
+@query("""
+WITH e AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9_.]+'), lambda w: length(w) >= 4)) AS words FROM part),
+s AS (SELECT n.p_partkey AS entry_id, o.p_partkey AS amends FROM e n JOIN e o ON n.p_partkey % 5 = 0 AND o.p_partkey = n.p_partkey // 5 WHERE n.p_brand = o.p_brand OR len(list_intersect(n.words, o.words)) > 0)
+SELECT p_partkey AS query_id, p_partkey AS entry_id FROM part UNION SELECT amends, entry_id FROM s
+""")
+def successors_found(spark, sf_dir):
+    """Each part by its own key; one divisible by five is the successor of that of a fifth of its number, and found by that one's key if it
+    has its brand or is of a name like it."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_brand").alias("author"), F.col("p_name").alias("text"))
+    old = parts.toDF("amends", "old_author", "old_text")
+    edges = parts.where("entry_id % 5 = 0").withColumn("amends", F.expr("entry_id div 5")).join(old, "amends")
+    return search.expand_successors(parts.select(F.col("entry_id").alias("query_id"), "entry_id"), edges)
