@@ -4,12 +4,14 @@ Entries are customers and users of events, reports are events, as in the catalog
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import lines, versions
-from ..operators import publish, rendering, rollups, search, stats, vector_index
+from ..operators import publish, rendering, rollups, search, stats, text_index, vector_index
 from ..sources import manifests
 from ..sources.folders import shared_folder
 from ..streaming import effort_join, limits, sessions, timers
@@ -410,3 +412,15 @@ def successors_found(spark, sf_dir):
     old = parts.toDF("amends", "old_author", "old_text")
     edges = parts.where("entry_id % 5 = 0").withColumn("amends", F.expr("entry_id div 5")).join(old, "amends")
     return search.expand_successors(parts.select(F.col("entry_id").alias("query_id"), "entry_id"), edges)
+
+
+_WORDS = {1: "THERE is onthe, ation!", 2: "benchmark passage", 3: "2024", 4: "the and ing", 5: "no.such.word here"}
+_KEYWORDS = {q: [w for w in re.split("[^a-z0-9_.]+", text.lower().strip()) if len(w) > 2] for q, text in _WORDS.items()}
+
+
+@query(" UNION ALL ".join(f"SELECT {q} AS query_id, doc_id AS entry_id FROM documents WHERE " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in words) + f" >= {min(2, len(words))}" for q, words in _KEYWORDS.items()))
+def keywords_by_index(spark, sf_dir):
+    """Searches of words in all documents through a stored index of trigrams: what a scan finds."""
+    path = shared_folder(spark, "text-index")
+    text_index.append(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text"), path)
+    return text_index.matches(spark.createDataFrame(list(_WORDS.items()), "query_id int, query string"), path).select(F.col("query_id").cast("int").alias("query_id"), "entry_id")
