@@ -21,9 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this machine's, if all of Spark
+    runs in one process, as in tests; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = _OWN.setdefault("dir", "") or _OWN.update(dir="file://" + tempfile.mkdtemp(prefix="lorekeep-")) or _OWN["dir"]
     return found.rstrip("/")
 
