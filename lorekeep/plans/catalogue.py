@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import error_keys, lines, names, redaction, versions
 from ..operators import publish, search, stats, strength
 from ..streaming import sessions as machine
-from . import activity, published, rules
+from . import activity, rules
 
-QUERIES: dict = published.QUERIES | activity.QUERIES | rules.QUERIES
-SQL: dict = published.SQL | activity.SQL | rules.SQL
+QUERIES: dict = activity.QUERIES | rules.QUERIES
+SQL: dict = activity.SQL | rules.SQL
 LIVE_DAYS = 30
 
 

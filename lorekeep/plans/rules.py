@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import error_keys, redaction
 from ..operators import publish, search, strength
+from ..sources import manifests
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -104,3 +105,49 @@ def task_topk(spark, sf_dir):
     """Tasks in words have a threshold of their own; here each of the stated queries is among its own hits."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vec"))
     return search.task_hits(vectors.where("entry_id % 50 = 0").select(F.col("entry_id").alias("query_id"), "vec"), vectors).select("query_id", "entry_id", "rank", "via")
+
+
+_COLUMNS = ["p_partkey AS k", "p_size AS s", "p_partkey % 3 > 0 AS py", "p_partkey % 2 = 0 AS node", "p_partkey % 4 = 0 AS locked", "p_partkey % 5 = 0 AS uv", "p_partkey % 7 = 0 AS py_version", "p_partkey % 6 < 3 AS node_version"]
+_PROJECT = f"SELECT {', '.join(_COLUMNS)} FROM part"
+
+
+def _project_files(spark, sf_dir) -> DataFrame:
+    """Each part as a project with some of the files that declare what it needs."""
+    k, s = F.col("k").cast("string"), F.col("s").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    files = {
+        "requirements.txt": ("py", text("alpha==1.", s, "\nBeta_Lib>=2\n\n# none\ngamma[x] == 3.", F.col("k") % 9, " ; python_version < '4' # n\n-e git+https://x/y\n./local\nALPHA==9")),
+        "package.json": ("node", text('{"name": "own", "dependencies": {"own": "1", "left": "^1.', F.col("k") % 5, '", "@s/x": "2", "loc": "file:../x"}, "devDependencies": {"left": "9", "right": "~2"}}')),
+        "package-lock.json": ("locked", text('{"packages": {"node_modules/left": {"version": "1.', s, '.0"}}}')),
+        "uv.lock": ("uv", text('version = 1\n\n[[package]]\nname = "beta-lib"\nversion = "2.', s, '"\n\n[[package]]\nname = "other"\nversion = "7"\n')),
+        ".python-version": ("py_version", text("3.", F.col("k") % 4 + 9, "\n")),
+        ".nvmrc": ("node_version", text("v18.", F.col("k") % 10)),
+        "NOTES.txt": ("py", text("alpha==7 ", k)),
+    }
+    rows = table(spark, sf_dir, "part").selectExpr(*_COLUMNS)
+    listed = F.array(*(F.when(F.col(there), F.struct(F.lit(name).alias("file"), body.alias("text"))) for name, (there, body) in files.items()))
+    return rows.select(k.alias("project"), F.inline(F.filter(listed, lambda f: f.isNotNull())))
+
+
+@query(f"""
+WITH p AS ({_PROJECT})
+SELECT k AS project, array_to_string(list_filter([CASE WHEN node THEN 'right@~2' END, CASE WHEN py THEN 'Beta_Lib@' || CASE WHEN uv THEN '2.' || s ELSE '?' END END,
+  CASE WHEN node THEN 'left@' || CASE WHEN locked THEN '1.' || s || '.0' ELSE '^1.' || (k % 5) END END, CASE WHEN py THEN 'alpha@1.' || s END, CASE WHEN py THEN 'gamma@3.' || (k % 9) END], lambda x: x IS NOT NULL), ';') AS packages
+FROM p WHERE py OR node OR uv OR py_version OR node_version
+""")
+def project_packages(spark, sf_dir):
+    """What each project needs, with the versions of its lock files; what a text names comes first."""
+    found = manifests.packages(_project_files(spark, sf_dir), F.lit("upgrade right, then BETA_LIB!"))
+    spelled = F.transform("packages", lambda p: F.concat(p["name"], F.lit("@"), F.coalesce(p["version"], F.lit("?"))))
+    return found.select(F.col("project").cast("long").alias("project"), F.array_join(spelled, ";").alias("packages"))
+
+
+@query(f"""
+WITH p AS ({_PROJECT})
+SELECT k AS project, CASE WHEN node AND NOT py THEN 'node@' || CASE WHEN node_version THEN '18.' || (k % 10) ELSE '?' END WHEN py AND NOT node THEN 'python@' || CASE WHEN py_version THEN '3.' || (k % 4 + 9) ELSE '?' END END AS runtime
+FROM p WHERE py OR node OR uv OR py_version OR node_version
+""")
+def project_runtimes(spark, sf_dir):
+    r = F.col("runtime")
+    found = manifests.runtimes(_project_files(spark, sf_dir))
+    return found.select(F.col("project").cast("long").alias("project"), F.when(r.isNotNull(), F.concat(r["name"], F.lit("@"), F.coalesce(r["version"], F.lit("?")))).alias("runtime"))

@@ -1,4 +1,4 @@
-"""The published examples of the formats as queries: inputs go through the operators, SQL has the expected values."""
+"""The published examples of the formats: inputs go through the operators, SQL has the expected values."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import error_keys, names, redaction, versions
-from ..sources import manifests
+from lorekeep.functions import error_keys, names, redaction, versions
+from lorekeep.sources import manifests
 
 _PAIRS = "array<struct<name:string,version:string>>"
 
