@@ -7,7 +7,7 @@ its words have all of theirs; these are read and compared as the scan compares t
 
 Batches are appended and replace themselves when they are written again. A container, and what a task intersects for a query and
 bucket, are bounded by the bucket and the query's words. Words of less than three characters are no keywords (lines.keywords).
-Null texts hold no word. A query without keywords matches every row, as it does in a scan.
+Null texts hold no word. A query without keywords filters nothing: it has no rows here, and its caller shows the feed as it is.
 """
 
 from __future__ import annotations
@@ -104,7 +104,4 @@ def matches(queries: DataFrame, path: str) -> DataFrame:
     texts = queries.sparkSession.read.parquet(f"{path}/texts").withColumn("batch", F.col("batch").cast("string"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), keywords(F.col("query")).alias("words"))
     read = candidates(queries, path).join(texts, ["batch", "number"]).join(asked, "query_id")
-    found = read.where(keyword_match(F.col("words"), F.col("text"))).select("query_id", "entry_id")
-    plain = asked.where(F.size("words") == 0).select("query_id", F.lit(0).alias("any"))
-    every = texts.select("entry_id", F.lit(0).alias("any"))
-    return found.unionByName(plain.join(every, "any").select("query_id", "entry_id"))
+    return read.where(keyword_match(F.col("words"), F.col("text"))).select("query_id", "entry_id")

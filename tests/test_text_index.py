@@ -14,6 +14,7 @@ TEXTS = "entry_id long, text string"
 def scanned(spark, rows, asked):
     texts, queries = spark.createDataFrame(rows, TEXTS), spark.createDataFrame(asked, "query_id long, query string")
     both = queries.select("query_id", keywords(F.col("query")).alias("words"), F.lit(0).alias("any")).join(texts.withColumn("any", F.lit(0)), "any")
+    both = both.where(F.size("words") > 0)  # others filter nothing
     return sorted(tuple(r) for r in both.where(keyword_match(F.col("words"), F.col("text"))).select("query_id", "entry_id").collect())
 
 
@@ -37,7 +38,7 @@ def test_few_texts_are_read(spark, sf_dir, tmp_path):
     queries = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate(zip(words[::2], words[1::2], strict=False))], "query_id long, query string")
     read, found = text_index.candidates(queries, path).count(), text_index.matches(queries, path).count()
     pairs = docs.count() * queries.where(F.size(keywords(F.col("query"))) > 0).count()
-    assert found <= read + docs.count() * queries.count() - pairs and read <= max(1.5 * found, 0.2 * pairs)
+    assert found <= read <= max(1.5 * found, 0.2 * pairs)
 
 
 @pytest.mark.parametrize("many", [0, 1, 2_047, 2_048, 1 << 15])
