@@ -9,11 +9,16 @@ merged table is that of all events together: sums are sums, lists unite, sketche
 Distinct agents over a span of days unite the days' partials. As long as every day has its list, the number is exact; with
 sketches of 2^LG_K registers its standard error is 1.04 / sqrt(2^LG_K). A day counts for the span's days and no longer.
 
+Where numbers must be exact for any number of agents, partials keep a row for each agent too (by_agent): they are stored, replaced
+and added up in the same way, at a row for each agent and day in place of one for each day.
+
 Rows without a time or a key are dropped; a null agent is nobody; null measures add nothing. No rows, no days.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +59,15 @@ def agents_of(agents: str = "agents", sketch: str = "sketch"):
     return F.when(F.col(agents).isNotNull(), F.size(agents).cast("long")).otherwise(F.hll_sketch_estimate(sketch))
 
 
-def write_batch(events: DataFrame, path: str, batch: int | str, measures: tuple[str, ...] = ()) -> None:
-    """Stores a batch's partials under its name."""
-    rows = partials(events, measures).withColumn("batch", F.lit(str(batch)))
+def by_agent(events: DataFrame, measures: tuple[str, ...] = ()) -> DataFrame:
+    """day, key, agent (null: nobody), n, measures: partials that count agents exactly, however many there are."""
+    own = events.where("at IS NOT NULL AND key IS NOT NULL").select(F.to_date("at").alias("day"), "key", F.col("agent").cast("string").alias("agent"), *measures)
+    return own.groupBy("day", "key", "agent").agg(F.count("*").alias("n"), *(F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures))
+
+
+def write_batch(events: DataFrame, path: str, batch: int | str, measures: tuple[str, ...] = (), of: Callable = partials) -> None:
+    """Stores a batch's partials, of either kind, under its name."""
+    rows = of(events, measures).withColumn("batch", F.lit(str(batch)))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
@@ -69,6 +80,12 @@ def daily(spark: SparkSession, path: str, measures: tuple[str, ...] = ()) -> Dat
     return merged(spark.read.parquet(path), measures)
 
 
+def daily_exact(spark: SparkSession, path: str, measures: tuple[str, ...] = ()) -> DataFrame:
+    """day, key, n, measures, agents: of stored batches by agent."""
+    once = spark.read.parquet(path).groupBy("day", "key", "agent").agg(F.sum("n").alias("n"), *(F.sum(m).alias(m) for m in measures))
+    return once.groupBy("day", "key").agg(F.sum("n").alias("n"), *(F.sum(m).alias(m) for m in measures), F.count("agent").alias("agents"))
+
+
 def agents_within(days: DataFrame, span: int = ASKED_DAYS) -> DataFrame:
     """day, key, agents, exact: distinct agents of the span of days that ends with each day on which the key has any. days: merged partials."""
     asked = days.select(F.col("day").alias("upto"), "key").distinct()
@@ -77,3 +94,18 @@ def agents_within(days: DataFrame, span: int = ASKED_DAYS) -> DataFrame:
         F.hll_union_agg("sketch").alias("sketch"), F.when(F.every(F.col("agents").isNotNull()), F.array_distinct(F.flatten(F.collect_list("agents")))).alias("agents")
     )  # at most EXACT agents a day
     return found.select(F.col("upto").alias("day"), "key", agents_of().alias("agents"), F.col("agents").isNotNull().alias("exact"))
+
+
+def agents_within_exact(days: DataFrame, span: int = ASKED_DAYS) -> DataFrame:
+    """day, key, agents: as agents_within, exact for any number. days: partials by agent.
+
+    An agent counts from each of its days until the span ends or its next day begins, so its stretches don't overlap, and the number of a
+    day is how many began up to it less how many ended: sums by day, and nothing is repeated for the days of a span."""
+    seen = days.where("agent IS NOT NULL").select("key", "agent", "day").distinct()
+    follows = F.lead("day").over(Window.partitionBy("key", "agent").orderBy("day"))
+    stretch = seen.select("key", "day", F.least(F.date_add("day", span), follows).alias("until"))
+    steps = stretch.select("key", F.inline(F.array(F.struct("day", F.lit(1).alias("step")), F.struct(F.col("until").alias("day"), F.lit(-1).alias("step")))))
+    asked = days.select("key", "day", F.lit(0).alias("step"), F.lit(True).alias("asked"))
+    sums = steps.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("key", "day").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    upto = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
+    return sums.withColumn("agents", F.sum("step").over(upto)).where("asked").select("day", "key", "agents")

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import pytest
 from lorekeep.operators import rollups
+from lorekeep.plans import activity
 from pyspark.sql import functions as F
 
 EVENTS = "at timestamp, key string, agent string, cost long"
@@ -72,3 +73,35 @@ def test_days_expire(spark, span):
     days = brute(rows)
     expected = {(day, key): len({a for (d, k), (_, _, agents) in days.items() if k == key and 0 <= (day - d).days < span for a in agents}) for day, key in days}
     assert found == expected
+
+
+def crowded(spark, path) -> str:
+    """A folder with events of more agents a day and key than lists or small sketches count exactly, some of them nobody's."""
+    day = F.lit(START) + F.make_dt_interval((F.col("id") % 13).cast("int"))
+    rows = spark.range(40_000).select(F.col("id").alias("event_id"), day.alias("ts"), F.when(F.col("id") % 11 > 0, (F.col("id") * 7919) % 9_001).alias("user_id"), F.element_at(F.array(F.lit("view"), F.lit("error")), (F.col("id") % 2 + 1).cast("int")).alias("event_type"), (F.col("id") % 100 / 4).alias("value"))
+    rows.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["agents_of_ten_days"])
+def test_crowds_are_counted_exactly(spark, tmp_path, name):
+    at = crowded(spark, tmp_path)
+    days = defaultdict(lambda: [0, 0, set(), set()])
+    for e in spark.read.parquet(f"{at}/events.parquet").collect():
+        own = days[e.ts.date(), e.event_type]
+        own[0], own[1] = own[0] + 1, own[1] + int(e.value * 100)
+        own[2] |= {e.user_id} - {None}
+        own[3] |= {e.user_id} - {None} if e.user_id is not None and e.user_id % 5 < 3 else set()
+    if name == "daily_by_batches":
+        expected = {(d, k, n, cents, len(some)) for (d, k), (n, cents, _, some) in days.items()}
+    else:
+        expected = {(d, k, len(set().union(*(a for (e, of), (_, _, a, _) in days.items() if of == k and 0 <= (d - e).days < 10)))) for d, k in days}
+    assert {tuple(r) for r in activity.QUERIES[name](spark, at).collect()} == expected
+
+
+@pytest.mark.parametrize("span", [1, 7, 60])
+def test_days_expire_exactly(spark, span):
+    rows = some_events(400, 5, agents=40, days=150)
+    found = {(r.day, r.key): r.agents for r in rollups.agents_within_exact(rollups.by_agent(spark.createDataFrame(rows, EVENTS)), span).collect()}
+    days = brute(rows)
+    assert found == {(day, key): len({a for (d, k), (_, _, agents) in days.items() if k == key and 0 <= (day - d).days < span for a in agents}) for day, key in days}
