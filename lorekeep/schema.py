@@ -7,6 +7,7 @@ pointers, in the order of the fields below.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -118,6 +119,11 @@ def _issue(broken: Column, path: Column, message: str) -> Column:
     return F.when(broken, one).otherwise(F.array().cast(_ISSUES)).cast(_ISSUES)
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is evaluated once a row, however often the expression names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _all(*found: Column) -> Column:
     return F.concat(*found) if found else F.array().cast(_ISSUES)
 
@@ -145,14 +151,41 @@ def _missing(keys: Column, names: tuple[str, ...], path: Column) -> list[Column]
 
 
 def _keys(v: Column) -> Column:
-    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+    return F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
+
+
+#: As what a value is read whose rules are several.
+_READ = {"string": "string", "boolean": "boolean", "integer": "double", "number": "double", "array": "array<variant>"}
 
 
 def issues(v: Column, spec: Spec, path: Column) -> Column:
-    """What is wrong with a variant that is there."""
+    """What is wrong with a variant that is there. The variant, the value read from it and an object's keys are read once."""
+
+    def checked(v: Column) -> Column:
+        if spec.kind == "object":
+            found = _let(_keys(v), lambda keys: _of_object(v, keys, spec, path))
+        else:
+            found = _let(F.try_variant_get(v, "$", _READ[spec.kind]), lambda value: _of_value(value, spec, path))
+        good = F.coalesce(_is(v, spec.kind), F.lit(False))
+        return F.when(good, found).otherwise(_issue(F.lit(True), path, f"must be {spec.kind}"))
+
+    return _let(v, checked)
+
+
+def _of_object(v: Column, keys: Column, spec: Spec, path: Column) -> Column:
+    found = _missing(keys, spec.required, path)
+    for name, own in spec.fields.items():
+        there = F.array_contains(keys, name)
+        found.append(F.when(there, issues(_get(v, name), own, _pointer(path, name))).otherwise(F.array().cast(_ISSUES)))
+    if spec.closed:
+        strange = F.array_except(keys, F.array(*map(F.lit, spec.fields)))
+        found.append(F.transform(strange, lambda k: F.struct(_pointer(path, k).alias("path"), F.lit("is not a field of the format").alias("message"))))
+    return _all(*found).cast(_ISSUES)
+
+
+def _of_value(value: Column, spec: Spec, path: Column) -> Column:
     found: list[Column] = []
     if spec.kind == "string":
-        value = F.try_variant_get(v, "$", "string")
         if spec.one_of:
             found.append(_issue(~value.isin(*spec.one_of), path, f"must be one of {', '.join(spec.one_of)}"))
         if spec.least is not None:
@@ -164,32 +197,20 @@ def issues(v: Column, spec: Spec, path: Column) -> Column:
         if spec.never:
             found.append(_issue(value.rlike(spec.never), path, "is not allowed here"))
     elif spec.kind in ("integer", "number"):
-        value = F.try_variant_get(v, "$", "double")
         if spec.least is not None:
             found.append(_issue(value < spec.least, path, f"must be at least {spec.least}"))
         if spec.most is not None:
             found.append(_issue(value > spec.most, path, f"must be at most {spec.most}"))
     elif spec.kind == "array":
-        items = F.try_variant_get(v, "$", "array<variant>")
         if spec.least is not None:
-            found.append(_issue(F.size(items) < spec.least, path, f"must have at least {spec.least} items"))
+            found.append(_issue(F.size(value) < spec.least, path, f"must have at least {spec.least} items"))
         if spec.most is not None:
-            found.append(_issue(F.size(items) > spec.most, path, f"must have at most {spec.most} items"))
+            found.append(_issue(F.size(value) > spec.most, path, f"must have at most {spec.most} items"))
         if spec.unique:
-            plain = F.transform(items, lambda x: F.to_json(x))
+            plain = F.transform(value, lambda x: F.to_json(x))
             found.append(_issue(F.size(F.array_distinct(plain)) < F.size(plain), path, "must not repeat items"))
-        found.append(F.flatten(F.transform(items, lambda x, i: issues(x, spec.item, _pointer(path, i.cast("string"))))))
-    elif spec.kind == "object":
-        keys = _keys(v)
-        found += _missing(keys, spec.required, path)
-        for name, own in spec.fields.items():
-            there = F.array_contains(keys, name)
-            found.append(F.when(there, issues(_get(v, name), own, _pointer(path, name))).otherwise(F.array().cast(_ISSUES)))
-        if spec.closed:
-            strange = F.array_except(keys, F.array(*map(F.lit, spec.fields)))
-            found.append(F.transform(strange, lambda k: F.struct(_pointer(path, k).alias("path"), F.lit("is not a field of the format").alias("message"))))
-    good = F.coalesce(_is(v, spec.kind), F.lit(False))
-    return F.when(good, _all(*found).cast(_ISSUES) if found else F.array().cast(_ISSUES)).otherwise(_issue(F.lit(True), path, f"must be {spec.kind}"))
+        found.append(F.flatten(F.transform(value, lambda x, i: issues(x, spec.item, _pointer(path, i.cast("string"))))))
+    return _all(*found).cast(_ISSUES)
 
 
 def _by_kind(v: Column) -> Column:
@@ -209,13 +230,16 @@ def _by_kind(v: Column) -> Column:
 
 def validate(document: Column, spec: Spec = TRAIL) -> Column:
     """The issues of a JSON document; text that is no JSON has one, null gives null."""
-    v = F.try_parse_json(document)
-    found = issues(v, spec, F.lit(""))
-    if spec is TRAIL:
-        found = F.when(F.coalesce(_is(v, "object"), F.lit(False)), F.concat(found, _by_kind(v))).otherwise(found)
-    if spec is EFFORT_RECORD:
-        found = F.concat(found, _issue(F.coalesce((_get(v, "role", "string") == "aided") & _get(v, "trail_id").isNull(), F.lit(False)), F.lit("/trail_id"), "is required"))
-    return F.when(v.isNotNull(), found).when(document.isNotNull(), _issue(F.lit(True), F.lit(""), "must be JSON"))
+
+    def of_document(v: Column) -> Column:
+        found = issues(v, spec, F.lit(""))
+        if spec is TRAIL:
+            found = F.when(F.coalesce(_is(v, "object"), F.lit(False)), F.concat(found, _by_kind(v))).otherwise(found)
+        if spec is EFFORT_RECORD:
+            found = F.concat(found, _issue(F.coalesce((_get(v, "role", "string") == "aided") & _get(v, "trail_id").isNull(), F.lit(False)), F.lit("/trail_id"), "is required"))
+        return F.when(v.isNotNull(), found).when(document.isNotNull(), _issue(F.lit(True), F.lit(""), "must be JSON"))
+
+    return _let(F.try_parse_json(document), of_document)
 
 
 def ddl(spec: Spec) -> str:
