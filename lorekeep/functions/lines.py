@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ WORDS = r"[A-Za-z]{2,}[:,]?\s+['\"]?[A-Za-z]{2,}"
 LINE_CHARS = 240
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is evaluated once a row, however often the expression names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 

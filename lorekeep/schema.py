@@ -7,12 +7,13 @@ pointers, in the order of the fields below.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .functions.lines import once
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -119,11 +120,6 @@ def _issue(broken: Column, path: Column, message: str) -> Column:
     return F.when(broken, one).otherwise(F.array().cast(_ISSUES)).cast(_ISSUES)
 
 
-def _let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """An expression of a value that is evaluated once a row, however often the expression names it."""
-    return F.element_at(F.transform(F.array(value), of), 1)
-
-
 def _all(*found: Column) -> Column:
     return F.concat(*found) if found else F.array().cast(_ISSUES)
 
@@ -163,13 +159,13 @@ def issues(v: Column, spec: Spec, path: Column) -> Column:
 
     def checked(v: Column) -> Column:
         if spec.kind == "object":
-            found = _let(_keys(v), lambda keys: _of_object(v, keys, spec, path))
+            found = once(_keys(v), lambda keys: _of_object(v, keys, spec, path))
         else:
-            found = _let(F.try_variant_get(v, "$", _READ[spec.kind]), lambda value: _of_value(value, spec, path))
+            found = once(F.try_variant_get(v, "$", _READ[spec.kind]), lambda value: _of_value(value, spec, path))
         good = F.coalesce(_is(v, spec.kind), F.lit(False))
         return F.when(good, found).otherwise(_issue(F.lit(True), path, f"must be {spec.kind}"))
 
-    return _let(v, checked)
+    return once(v, checked)
 
 
 def _of_object(v: Column, keys: Column, spec: Spec, path: Column) -> Column:
@@ -239,7 +235,7 @@ def validate(document: Column, spec: Spec = TRAIL) -> Column:
             found = F.concat(found, _issue(F.coalesce((_get(v, "role", "string") == "aided") & _get(v, "trail_id").isNull(), F.lit(False)), F.lit("/trail_id"), "is required"))
         return F.when(v.isNotNull(), found).when(document.isNotNull(), _issue(F.lit(True), F.lit(""), "must be JSON"))
 
-    return _let(F.try_parse_json(document), of_document)
+    return once(F.try_parse_json(document), of_document)
 
 
 def ddl(spec: Spec) -> str:

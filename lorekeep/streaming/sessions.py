@@ -58,6 +58,26 @@ class Policy:
 SAID = "session string, at long, say string, line string, ids array<string>, since long"
 
 
+def _apart(rows: DataFrame, **columns: Column) -> DataFrame:
+    """More columns, by a generator of one row each: what stands after it names them and does not repeat their expressions."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _failure_line(output: Column) -> Column:
+    return lines.once(lines.last_error_line(output, loose=True), lambda loose: F.when(loose != "", loose).otherwise(lines.tool_message(lines.last_line(output))))
+
+
+def _lost_stage(tail: Column) -> Column:
+    """What an earlier stage of a pipeline said when it could not run; else empty."""
+    piped = F.contains(F.coalesce("command", F.lit("")), F.lit("|"))
+
+    def told(stage: Column) -> Column:
+        looked = ~stage.rlike(r"not found\s*$") & stage.rlike(shell.LOOKING)
+        return F.when((stage != "") & ~looked, F.coalesce(F.nullif(lines.last_line(stage), F.lit("")), F.substring(stage, 1, lines.LINE_CHARS))).otherwise("")
+
+    return F.when(piped, lines.once(error_keys.strip(F.regexp_extract(tail, f"({lines.SHELL_FAILURE})", 1)), told)).otherwise("")
+
+
 def classified(events: DataFrame) -> DataFrame:
     """The rows that the machine reads. A kind is: miss, hit (of a search), brief, report, publish, shown, fail, works, stop."""
     text = F.coalesce("response", F.lit(""))
@@ -65,18 +85,20 @@ def classified(events: DataFrame) -> DataFrame:
     code = F.coalesce("exit_code", F.when(said != "", said).cast("int"))
     # Arrow functions take columns, so the command is studied first, once.
     rows = events.where("session IS NOT NULL AND at IS NOT NULL").withColumn("code", code)
-    rows = rows.withColumn("does", F.when(F.col("tool").isin(*SHELLS), shell.studied(F.coalesce("command", F.lit("")), F.col("code"))))
+    shelled = F.col("tool").isin(*SHELLS)
+    rows = rows.withColumn("does", F.when(shelled, shell.studied(F.when(shelled, F.coalesce("command", F.lit(""))), F.col("code"))))
+    failed = (F.col("event") == "failure") | (F.col("event").isNull() & F.coalesce(F.col("code") != 0, F.lit(False)))
+    fails = F.col("does").isNotNull() & failed
+    works = F.col("does").isNotNull() & ~failed & F.col("event").isNotNull() & ~F.col("does.probe")
     output = F.regexp_replace(F.coalesce("error", F.lit("")), EXIT_CODE, "")
-    loose = lines.last_error_line(output, loose=True)
-    failure_line = F.when(loose != "", loose).otherwise(lines.tool_message(lines.last_line(output)))
     tail = F.array_join(F.slice(F.reverse(F.split(text, r"\r?\n")), 1, TAIL_LINES), "\u0000")
     tail = F.array_join(F.reverse(F.split(tail, "\u0000")), "\n")
-    ended = lines.last_error_line(tail)
-    piped = F.contains(F.coalesce("command", F.lit("")), F.lit("|"))
-    stage = error_keys.strip(F.regexp_extract(tail, f"({lines.SHELL_FAILURE})", 1))
-    looked = ~stage.rlike(r"not found\s*$") & stage.rlike(shell.LOOKING)
-    stage = F.when(piped & (stage != "") & ~looked, F.coalesce(F.nullif(lines.last_line(stage), F.lit("")), F.substring(stage, 1, lines.LINE_CHARS))).otherwise("")
-    failed = (F.col("event") == "failure") | (F.col("event").isNull() & F.coalesce(F.col("code") != 0, F.lit(False)))
+    # Lines are looked for once, and only where they may be asked for.
+    rows = _apart(
+        rows, failure_line=F.when(fails, lines.once(output, _failure_line)),
+        ends=F.when(works, lines.once(tail, lambda x: F.struct(lines.last_error_line(x).alias("line"), _lost_stage(x).alias("stage")))),
+    )
+    failure_line, ended, stage = F.col("failure_line"), F.col("ends.line"), F.col("ends.stage")
     excused = F.coalesce("interrupted", F.lit(False)) | F.coalesce(F.col("code").isin(*shell.STOPPED), F.lit(False)) | F.col("does.probe") | F.col("does.answers")
     excused = excused | (F.coalesce(F.col("code") == 1, F.lit(False)) & F.col("does.condition")) | failure_line.rlike(lines.USAGE_LINE)
     tool = F.coalesce("tool", F.lit(""))
@@ -88,13 +110,14 @@ def classified(events: DataFrame) -> DataFrame:
         .when(tool.rlike(BRIEF), "brief")
         .when(tool.rlike(REPORT), "report")
         .when(tool.rlike(PUBLISH), "publish")
-        .when(F.col("does").isNotNull() & failed & ~excused, "fail")
-        .when(F.col("does").isNotNull() & ~failed & F.col("event").isNotNull() & ~F.col("does.probe"), "works")
+        .when(fails & ~excused, "fail")
+        .when(works, "works")
     )
+    rows, kind = _apart(rows, kind=kind).where("kind IS NOT NULL"), F.col("kind")
     line = F.when(kind == "fail", failure_line).when(kind == "works", F.when(ended != "", ended).otherwise(stage)).when(kind == "miss", F.substring("error", 1, lines.LINE_CHARS))
     told = F.when(kind == "works", F.when(ended != "", "hidden_error").when(stage != "", "stage_failed")).when(kind == "report", F.col("outcome"))
     ids = F.when(kind.isin("hit", "shown"), shell.entry_ids(text)).when(kind == "report", F.array(F.lower("entry_id")))
-    return rows.withColumns({"kind": kind, "line": line}).where("kind IS NOT NULL").select(
+    return rows.withColumn("line", line).select(
         "session", F.unix_millis(F.col("at").cast("timestamp")).alias("at"), "kind", F.col("does.key").alias("key"), F.coalesce("line", F.lit("")).alias("line"),
         error_keys.signature(F.coalesce("line", F.lit(""))).alias("sig"), ids.alias("ids"), told.alias("outcome"),
         F.when((F.col("kind") == "works") & (F.trim(text) == ""), F.nullif(F.col("does.producer"), F.lit(""))).alias("producer"), F.col("at").alias("time"),

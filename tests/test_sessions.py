@@ -145,3 +145,10 @@ def test_commands(spark):
     assert {k: shell.condition_ends(k) for k in conditions} == conditions
     rows = spark.createDataFrame([("npm test | grep x", 1)], "command string, code int").select(shell.studied("command", "code").alias("s")).select("s.*").first()
     assert tuple(rows) == ("npm test", False, False, False, "npm test")
+
+
+def test_lines_are_looked_for_once(spark):
+    """Each shape of a line stands once in the plan for each text that it is looked for in, whatever asks for it."""
+    text = dict.fromkeys(("session", "event", "tool", "command", "response", "error", "outcome", "entry_id"), "string") | {"at": "timestamp", "exit_code": "int", "interrupted": "boolean"}
+    plan = classified(spark.range(3).select(*(F.col("id").cast("string").try_cast(kind).alias(name) for name, kind in text.items())))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("BUILD (?:FAILURE|FAILED)") == 1 and plan.count("Traceback") == 2  # of an error's output; and of a reply's tail
