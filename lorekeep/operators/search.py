@@ -51,52 +51,95 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-#: Vectors of a block, of which a matrix is made.
-BLOCK = 1_024
-
-
-def _blocks(rows: DataFrame, name: str, vec: str) -> DataFrame:
-    """dim, ids, matrix: unit vectors by the block, as they lie in their partitions; nothing is shuffled."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, own in batch.groupby(batch["vec"].map(len)):
-                for at in range(0, len(own) if dim else 0, BLOCK):
-                    part = own.iloc[at : at + BLOCK]
-                    x = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                    norms = np.linalg.norm(x, axis=1)
-                    good = np.isfinite(norms) & (norms > 0)
-                    if good.any():
-                        yield pd.DataFrame({"dim": [dim], "ids": [part["id"].to_numpy()[good].tolist()], "matrix": [(x[good] / norms[good, None]).tobytes()]})
-
-    whole = rows.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda v: v.isNull())).select(F.col(name).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    return whole.mapInPandas(run, "dim int, ids array<long>, matrix binary")
+#: Vectors of a block, of which a matrix is made, and how many queries a task holds, or some more.
+BLOCK, HELD = 1_024, 4_096
+
+
+def _merged(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndarray, least: float) -> None:
+    """Puts a block's entries among the best of each query, in their place: scores (free places -inf) and ids, by rank."""
+    top, top_ids = best
+    most, rounded = top.shape[1], np.round(scores, 12)
+    open_for = (scores >= least) & (rounded >= np.round(top[:, -1:], 12))
+    if open_for.sum() > scores.shape[0] * most and scores.shape[1] > most:
+        open_for &= rounded >= np.partition(rounded, -most, axis=1)[:, -most, None]
+    q, k = np.nonzero(open_for)
+    if not len(q):
+        return
+    old_q, old_k = np.nonzero(np.isfinite(top))
+    q, found, of = np.concatenate([q, old_q]), np.concatenate([scores[q, k], top[old_q, old_k]]), np.concatenate([ids[k], top_ids[old_q, old_k]])
+    order = np.lexsort((of, -np.round(found, 12), q))
+    q, found, of = q[order], found[order], of[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    q, found, of, rank = (x[rank < most] for x in (q, found, of, rank))
+    top[:] = -np.inf
+    top[q, rank], top_ids[q, rank] = found, of
+
+
+def _unit(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """dim, ids, unit vectors by the block; without those that are zero or not finite."""
+    for dim, own in rows.groupby(rows["vec"].map(len)):
+        for at in range(0, len(own) if dim else 0, BLOCK):
+            part = own.iloc[at : at + BLOCK]
+            x = np.stack(part["vec"].to_numpy()).astype(np.float64)
+            norms = np.linalg.norm(x, axis=1)
+            good = np.isfinite(norms) & (norms > 0)
+            if good.any():
+                yield dim, part["id"].to_numpy()[good], x[good] / norms[good, None]
 
 
 def _nearest(least: float, most: int) -> Callable:
-    """Of each pair of blocks, the best entries of each query."""
+    """Cells one after the other, each cell's queries before its entries: the queries are held, block by block, with the best entries of
+    each; entries are read and left."""
+
+    def told(held: dict[int, list]) -> Iterator[pd.DataFrame]:
+        for blocks in held.values():
+            for ids, _, (top, top_ids) in blocks:
+                q, k = np.nonzero(np.isfinite(top))
+                yield pd.DataFrame({"query_id": ids[q], "entry_id": top_ids[q, k], "score": top[q, k]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, {}
         for batch in batches:
-            for dim, ids, matrix, q_dim, q_ids, q_matrix in batch.itertuples(index=False, name=None):
-                if dim != q_dim:
-                    continue
-                scores = np.frombuffer(q_matrix).reshape(-1, q_dim) @ np.frombuffer(matrix).reshape(-1, dim).T
-                ids = np.asarray(ids)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :most]
-                found = np.take_along_axis(scores, order, axis=1)
-                q, k = np.nonzero(found >= least)
-                yield pd.DataFrame({"query_id": np.asarray(q_ids)[q], "entry_id": ids[order[q, k]], "score": found[q, k]})
+            for (cell, entry), own in batch.groupby(["cell", "entry"]):  # in their order
+                if cell != current:
+                    yield from told(held)
+                    current, held = cell, {}
+                for dim, ids, x in _unit(own):
+                    if not entry:
+                        held.setdefault(dim, []).append((ids, x, (np.full((len(ids), most), -np.inf), np.zeros((len(ids), most), np.int64))))
+                        continue
+                    for _, asked, best in held.get(dim, []):
+                        _merged(best, asked @ x.T, ids, least)
+        yield from told(held)
 
     return run
 
 
-def semantic_hits(queries: DataFrame, entries: DataFrame, least: float, most: int = PER_ANSWER) -> DataFrame:
+def query_groups(queries: DataFrame) -> int:
+    """In how many groups queries are dealt, so that a task can hold one."""
+    return max(1, -(-queries.count() // HELD))
+
+
+def semantic_hits(queries: DataFrame, entries: DataFrame, least: float, most: int = PER_ANSWER, groups: int | None = None) -> DataFrame:
     """The nearest entries of each query by cosine. queries is a stated set (a batch of requests) that is compared with every
-    entry, block by block as products of matrices; only the best of each query and block are shuffled. Vectors that are null, zero,
-    or hold nulls or no finite numbers are near nothing, as are those of another length."""
-    asked = _blocks(queries, "query_id", "vec").toDF("q_dim", "q_ids", "q_matrix")
-    scored = _blocks(entries, "entry_id", "vec").crossJoin(asked).mapInPandas(_nearest(least, most), "query_id long, entry_id long, score double")
+    entry, block by block as products of matrices. Queries are dealt to groups by their id, entries to slices; a task has a group, which
+    it holds, and a slice, which it reads as it comes, and only the best of each query and slice are shuffled. Vectors that are null,
+    zero, or hold nulls or no finite numbers are near nothing, as are those of another length."""
+    groups = groups or query_groups(queries)
+    slices = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // groups))
+
+    def dealt(rows: DataFrame, name: str, entry: bool) -> DataFrame:
+        vec = F.col("vec") if dict(rows.dtypes)["vec"] == "array<float>" else F.col("vec").cast("array<double>")
+        whole = rows.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull())).select(F.col(name).cast("long").alias("id"), vec.alias("vec"))
+        own, every = (slices, groups) if entry else (groups, slices)
+        at, other = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(every - 1)))
+        cells = whole.select("id", "vec", at.alias("own"), other.alias("other"))
+        group, piece = ("other", "own") if entry else ("own", "other")
+        return cells.select((F.col(group) * slices + F.col(piece)).alias("cell"), F.lit(entry).alias("entry"), "id", "vec")
+
+    rows = dealt(queries, "query_id", False).unionByName(dealt(entries, "entry_id", True))
+    cells = rows.repartitionById(groups * slices, F.col("cell")).sortWithinPartitions("cell", "entry")
+    scored = cells.mapInPandas(_nearest(least, most), "query_id long, entry_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("entry_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("via", F.lit("semantic"))
 
@@ -115,7 +158,7 @@ def tiers(queries: DataFrame, entries: DataFrame, least: float = MIN_SCORE, most
     exact = exact_hits(queries.select("query_id", "fp"), entries.select("entry_id", "fp", "strength"), most=PER_KEY).where("entry_id <> query_id")
     exact = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= most)
     open_queries = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    near = semantic_hits(open_queries, entries, least, most + 1).where("entry_id <> query_id")  # itself is one of them at most
+    near = semantic_hits(open_queries, entries, least, most + 1, query_groups(queries)).where("entry_id <> query_id")  # itself is one of them at most
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= most)
     return with_fallback(queries, exact, near)
 

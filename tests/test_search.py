@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
+from lorekeep.operators import search
 from lorekeep.plans import catalogue
 
 
@@ -35,3 +36,20 @@ def test_whole_texts_and_vectors(spark, tmp_path):
         expected |= {(i, e, n + 1, via) for n, (e, via) in enumerate(hits[:5])}
     assert {x[3] for x in expected} == {"fingerprint", "semantic"}
     assert {tuple(r)[:4] for r in catalogue.search_tiers(spark, at).collect()} == expected
+
+
+def test_queries_and_entries_come_in_parts(spark, monkeypatch):
+    """Groups and slices give the nearest of all, ties to the smaller id; no row carries a pair of blocks."""
+    monkeypatch.setattr(search, "HELD", 7)
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.integers(-2, 3, size=4).astype(float).tolist() for i in range(1, 1_500)} | {i: rng.normal(size=3).tolist() for i in range(1_500, 1_600)}
+    odd = [(2_000, None), (2_001, [0.0] * 4), (2_002, [float("nan"), 1.0, 1.0, 1.0]), (2_003, [None, 1.0, 1.0, 1.0]), (2_004, [])]
+    entries = spark.createDataFrame(list(vectors.items()) + odd, "entry_id long, vec array<double>")
+    found = search.semantic_hits(entries.where("entry_id % 40 = 0").withColumnRenamed("entry_id", "query_id"), entries, 0.5, 6)
+    assert "NestedLoop" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items() if any(v)}
+    expected = set()
+    for q in (i for i in unit if i % 40 == 0):
+        near = sorted((-round(float(unit[q] @ v), 12), i) for i, v in unit.items() if len(v) == len(unit[q]))
+        expected |= {(q, i, n + 1) for n, (s, i) in enumerate(near[:6]) if -s >= 0.5}
+    assert {(r.query_id, r.entry_id, r["rank"]) for r in found.collect()} == expected
