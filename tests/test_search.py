@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from lorekeep.operators import search
 from lorekeep.plans import catalogue
@@ -53,3 +54,9 @@ def test_queries_and_entries_come_in_parts(spark, monkeypatch):
         near = sorted((-round(float(unit[q] @ v), 12), i) for i, v in unit.items() if len(v) == len(unit[q]))
         expected |= {(q, i, n + 1) for n, (s, i) in enumerate(near[:6]) if -s >= 0.5}
     assert {(r.query_id, r.entry_id, r["rank"]) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["strong_hits"])
+def test_queries_of_hits_pair_no_blocks(spark, sf_dir, name):
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
