@@ -56,7 +56,7 @@ def test_queries_and_entries_come_in_parts(spark, monkeypatch):
     assert {(r.query_id, r.entry_id, r["rank"]) for r in found.collect()} == expected
 
 
-@pytest.mark.parametrize("name", ["strong_hits"])
+@pytest.mark.parametrize("name", ["strong_hits", "relevant_hits"])
 def test_queries_of_hits_pair_no_blocks(spark, sf_dir, name):
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
