@@ -53,21 +53,26 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Vectors of a block, of which a matrix is made, and how many queries a task holds, or some more.
 BLOCK, HELD = 1_024, 4_096
+#: Decimals of a score that its rank goes by; of scores that agree in them, the smaller id is first.
+DIGITS = 9
 
 
 def _merged(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndarray, least: float) -> None:
-    """Puts a block's entries among the best of each query, in their place: scores (free places -inf) and ids, by rank."""
+    """Puts a block's entries among the best of each query, in their place: scores (free places -inf) and ids, by rank.
+    Entries come by id, so of equal scores those that came before stay, and of a block of copies only as many go on as have a place."""
     top, top_ids = best
-    most, rounded = top.shape[1], np.round(scores, 12)
-    open_for = (scores >= least) & (rounded >= np.round(top[:, -1:], 12))
+    most, rounded = top.shape[1], np.round(scores, DIGITS)
+    open_for = (scores >= least) & (rounded > np.round(top[:, -1:], DIGITS))
     if open_for.sum() > scores.shape[0] * most and scores.shape[1] > most:
-        open_for &= rounded >= np.partition(rounded, -most, axis=1)[:, -most, None]
+        last = np.partition(rounded, -most, axis=1)[:, -most, None]
+        above, tied = rounded > last, rounded == last
+        open_for &= above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= most - above.sum(axis=1, keepdims=True)))
     q, k = np.nonzero(open_for)
     if not len(q):
         return
     old_q, old_k = np.nonzero(np.isfinite(top))
     q, found, of = np.concatenate([q, old_q]), np.concatenate([scores[q, k], top[old_q, old_k]]), np.concatenate([ids[k], top_ids[old_q, old_k]])
-    order = np.lexsort((of, -np.round(found, 12), q))
+    order = np.lexsort((of, -np.round(found, DIGITS), q))
     q, found, of = q[order], found[order], of[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     q, found, of, rank = (x[rank < most] for x in (q, found, of, rank))
@@ -88,8 +93,8 @@ def _unit(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _nearest(least: float, most: int) -> Callable:
-    """Cells one after the other, each cell's queries before its entries: the queries are held, block by block, with the best entries of
-    each; entries are read and left."""
+    """Cells one after the other, each cell's queries before its entries, by id: the queries are held, block by block, with the best
+    entries of each; entries are read and left."""
 
     def told(held: dict[int, list]) -> Iterator[pd.DataFrame]:
         for blocks in held.values():
@@ -138,9 +143,9 @@ def semantic_hits(queries: DataFrame, entries: DataFrame, least: float, most: in
         return cells.select((F.col(group) * slices + F.col(piece)).alias("cell"), F.lit(entry).alias("entry"), "id", "vec")
 
     rows = dealt(queries, "query_id", False).unionByName(dealt(entries, "entry_id", True))
-    cells = rows.repartitionById(groups * slices, F.col("cell")).sortWithinPartitions("cell", "entry")
+    cells = rows.repartitionById(groups * slices, F.col("cell")).sortWithinPartitions("cell", "entry", "id")
     scored = cells.mapInPandas(_nearest(least, most), "query_id long, entry_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("entry_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), F.asc("entry_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("via", F.lit("semantic"))
 
 

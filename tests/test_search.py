@@ -1,9 +1,11 @@
 """The search tiers against brute force: whole texts, and vectors where no text is the same."""
 
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from conftest import rows_of, sql_rows
 
 from lorekeep.operators import search
 from lorekeep.plans import catalogue
@@ -60,3 +62,29 @@ def test_queries_and_entries_come_in_parts(spark, monkeypatch):
 def test_queries_of_hits_pair_no_blocks(spark, sf_dir, name):
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["strong_hits"])
+def test_scores_that_agree_in_nine_digits_are_ties(spark, tmp_path, name):
+    """The higher an id, the nearer, by less than the ninth digit; and more copies than an answer has places."""
+    near = [(i, [1.0, 1e-6 * (20 - i), 0.0, 0.0]) for i in range(1, 20)]
+    copies = [(i, [0.0, 0.0, 1.0, 1.0]) for i in range(100, 3_000)]
+    at = folder(spark, tmp_path, [], [(0, [1.0, 0.0, 0.0, 0.0]), *near, (50, [0.0, 1.0, 0.0, 0.0]), *copies])
+    found = catalogue.QUERIES[name](spark, at)
+    vectors = f"read_parquet('{at}/embeddings.parquet/*.parquet')"
+    sql = catalogue.SQL[name].replace("FROM embeddings", f"FROM {vectors}").replace("q, embeddings", f"q, {vectors}")
+    assert rows_of(found) == sql_rows(sql, found.columns)
+    assert {r.entry_id for r in found.where("query_id = 0").collect()} == {1, 2, 3, 4, 5}
+
+
+def test_a_block_of_copies_takes_no_more_room():
+    """Of copies only as many are kept as have a place, so memory is that of a few arrays of scores; ties to the smaller id."""
+    scores, ids = np.ones((512, 1_024)), np.arange(1_024) * 3
+    best = np.full((512, 6), -np.inf), np.zeros((512, 6), np.int64)
+    tracemalloc.start()
+    for later in (0, 4_000):
+        search._merged(best, scores, ids + later, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (best[0] == 1).all() and (best[1] == ids[:6]).all()
+    assert peak < 4 * scores.nbytes
